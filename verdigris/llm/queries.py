@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdigris.llm.bpe import op10_bpe
 from verdigris.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from verdigris.llm.mixing import OP2_SQL, op2_source_mixing
 from verdigris.llm.sharding import OP8_SQL, op8_sharding
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op5_exact_dedup": op5_exact_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_sharding": op8_sharding,
+        "op10_bpe": op10_bpe,
     }
 
 
