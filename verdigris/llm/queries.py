@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from verdigris.llm.bpe import op10_bpe
 from verdigris.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from verdigris.llm.licenses import op1_license_scan
 from verdigris.llm.mixing import OP2_SQL, op2_source_mixing
 from verdigris.llm.quality import op4_quality_rules
+from verdigris.llm.secrets import op9_secret_scan
 from verdigris.llm.sharding import OP8_SQL, op8_sharding
 from verdigris.llm.simhash_dedup import op7_simhash_near_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_source_mixing": op2_source_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_sharding": op8_sharding,
+        "op9_secret_scan": op9_secret_scan,
         "op10_bpe": op10_bpe,
     }
 
