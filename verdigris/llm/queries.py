@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from verdigris.llm.bpe import op10_bpe
 from verdigris.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from verdigris.llm.language import op3_language_id
 from verdigris.llm.licenses import op1_license_scan
 from verdigris.llm.mixing import OP2_SQL, op2_source_mixing
 from verdigris.llm.quality import op4_quality_rules
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_source_mixing": op2_source_mixing,
+        "op3_language_id": op3_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
