@@ -11,6 +11,7 @@ from verdigris.llm.quality import op4_quality_rules
 from verdigris.llm.secrets import op9_secret_scan
 from verdigris.llm.sharding import OP8_SQL, op8_sharding
 from verdigris.llm.simhash_dedup import op7_simhash_near_dedup
+from verdigris.llm.wavelet import op6_token_output
 
 
 def queries() -> dict:
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_language_id": op3_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_token_output": op6_token_output,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_sharding": op8_sharding,
         "op9_secret_scan": op9_secret_scan,
