@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from verdigris.llm.bpe import op10_bpe
 from verdigris.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from verdigris.llm.language import op3_language_id
@@ -26,8 +27,10 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_secret_scan": op9_secret_scan,
         "op10_bpe": op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_sharding": OP8_SQL}
+    sql = {"op2_source_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_sharding": OP8_SQL}
+    return sql if corpus_pipeline.ORACLE_SQL is None else sql | {"pipeline": corpus_pipeline.ORACLE_SQL}
