@@ -36,8 +36,8 @@ _MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>
 
 
 def page_text(html: Column) -> Column:
-    """A page's text, its markup replaced by spaces."""
-    return F.regexp_replace(html, _MARKUP, " ")
+    """A page's text: its markup replaced by spaces, none of them at the ends."""
+    return F.regexp_replace(F.regexp_replace(html, _MARKUP, " "), r"\A\s+|\s+\z", "")
 
 
 def declared_language(html: Column) -> Column:
@@ -99,9 +99,9 @@ def text_scores(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFr
     return pages.mapInArrow(run, f"{types}, grams long, logs array<double>")
 
 
-def _argmax(logs: Column) -> Column:
-    """The place of the largest element, the first of equals, from 0."""
-    return (F.array_position(logs, F.array_max(logs)) - 1).cast("int")
+def _argmax(logs: Column, n: int) -> Column:
+    """The place of the largest of n elements, the first of equals, from 0. No number is sought again by equality: a second evaluation may differ in its last bit."""
+    return -F.array_max(F.array(*[F.struct(logs[i].alias("x"), F.lit(-i).alias("i")) for i in range(n)])).getField("i")
 
 
 def _votes(pages: DataFrame, key: list[str], langs: int, out: str) -> DataFrame:
@@ -132,7 +132,7 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
     n = len(langs)
     thin = text_scores(given, (langs, logs))
     has_text = F.col("grams") > F.lit(0)
-    thin = thin.withColumn("vote", F.when(has_text, _argmax(F.col("logs")))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.substring_index("host", ".", -1))
+    thin = thin.withColumn("vote", F.when(has_text, _argmax(F.col("logs"), n))).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.substring_index("host", ".", -1))
     thin = table(thin, "pages")
     whole = _votes(thin, [], n, "of_all").crossJoin(thin.agg(F.count_distinct("declared").cast("double").alias("n_declared"), F.count_distinct("suffix").cast("double").alias("n_suffix")))
     with_declared = _votes(thin.filter("declared IS NOT NULL"), [], n, "all_declared")
@@ -168,9 +168,9 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
     names = F.array(*[F.lit(x) for x in langs])
     return step.select(
         F.col("id").alias(id_col),
-        names[_argmax(F.col("posterior"))].alias("lang"),
+        F.get(names, _argmax(F.col("posterior"), n)).alias("lang"),
         (1.0 / F.aggregate("posterior", F.lit(0.0), lambda s, x: s + F.exp(x - best))).alias("probability"),
-        names[F.col("vote")].alias("text_lang"),
+        F.get(names, F.col("vote")).alias("text_lang"),
         "declared",
         "host",
     )
