@@ -27,6 +27,11 @@ def check_identifier(name: str) -> str:
     return name
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is evaluated once and stands in the plan once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_words(text: Column) -> Column:
     """Words between Unicode white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -59,9 +64,12 @@ def strip_near(words: Column) -> Column:
 
 def clean_word(word: Column) -> Column:
     """Without leading ^ + -, then without parentheses at the ends; quoted where a colon or hyphen is in it."""
-    bare = F.regexp_replace(F.regexp_replace(word, r"^[\^+\-]+", ""), r"^[()]+|[()]+$", "")
-    quoted = F.concat(F.lit('"'), F.replace(bare, F.lit('"'), F.lit("")), F.lit('"'))
-    return F.when(bare.rlike("[:-]") & ~bare.startswith('"'), quoted).otherwise(bare)
+
+
+    def quoted(bare: Column) -> Column:
+        return F.when(bare.rlike("[:-]") & ~bare.startswith('"'), F.concat(F.lit('"'), F.replace(bare, F.lit('"'), F.lit("")), F.lit('"'))).otherwise(bare)
+
+    return let(F.regexp_replace(F.regexp_replace(word, r"^[\^+\-]+", ""), r"^[()]+|[()]+$", ""), quoted)
 
 
 def drop_dangling(words: Column) -> Column:
@@ -77,9 +85,12 @@ def drop_dangling(words: Column) -> Column:
 def sanitize(query: Column) -> Column:
     """The query without special syntax, or null where nothing is left of it (see sanitize_error)."""
     cleaned = F.filter(F.transform(strip_near(split_words(query)), clean_word), lambda w: w != "")
-    joined = F.array_join(drop_dangling(cleaned), " ")
-    odd = (F.length(joined) - F.length(F.replace(joined, F.lit('"'), F.lit("")))) % 2 == 1
-    return F.when(joined != "", F.when(odd, F.concat(joined, F.lit('"'))).otherwise(joined))
+
+    def balanced(joined: Column) -> Column:
+        odd = (F.length(joined) - F.length(F.replace(joined, F.lit('"'), F.lit("")))) % 2 == 1
+        return F.when(joined != "", F.when(odd, F.concat(joined, F.lit('"'))).otherwise(joined))
+
+    return let(F.array_join(let(cleaned, drop_dangling), " "), balanced)
 
 
 def sanitize_error(query: Column, sanitized: Column) -> Column:
