@@ -140,7 +140,7 @@ def test_language_is_that_of_brute_force(spark, make, prose):
     new_en, new_de = prose(12, seed=7), ["ß" + t.replace("th", "sch").replace("an", "ung") for t in prose(12, seed=8)]
     rows = [(i, f"http://h{i % 3}.example.org/a", page(t, "en")) for i, t in enumerate(new_en)] + [(20 + i, f"https://u@x.seite.de:80/{i}", page(t, "de-AT" if i % 4 else None)) for i, t in enumerate(new_de)]
     rows += [(40, "http://x.seite.de/leer", page("")), (41, None, page("")), (42, "kein host", None), (43, "http://x.seite.de/kurz", page("ha")), (44, "http://neu.de/", None)]
-    out = language.identify_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs)
+    out = language.identify_languages(spark.createDataFrame(rows, "page_id long, url string, html string"), language.text_model(docs))
     got = {r.page_id: r for r in out.collect()}
     assert all(got[i].lang == "en" for i in range(12)) and all(got[20 + i].lang == "de" for i in range(12))
     assert got[40].text_lang is None and got[40].lang == got[43].lang == got[44].lang == "de"
@@ -182,18 +182,18 @@ def test_language_held_out(spark, make):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     train, rest = docs.filter("doc_id % 5 > 0"), docs.filter("doc_id % 5 = 0 AND n_chars > 100")
     pages = rest.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), "text").withColumnRenamed("text", "html")
-    got = language.identify_languages(pages, train).join(rest.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("truth")), "page_id")
+    got = language.identify_languages(pages, language.text_model(train)).join(rest.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("truth")), "page_id")
     r = got.agg(F.avg((F.col("lang") == F.col("truth")).cast("int"))).first()[0]
     assert r > 0.9
 
 
 def test_language_of_odd_tables(spark, make, odd):
     pages = spark.createDataFrame([(None, None, t) for t in odd], "page_id long, url string, html string")
-    assert language.identify_languages(pages, make(odd)).count() == len(odd)
-    assert language.identify_languages(pages.limit(0), make(odd)).count() == 0
-    nothing = language.identify_languages(pages, make(odd).limit(0))
+    assert language.identify_languages(pages, language.text_model(make(odd))).count() == len(odd)
+    assert language.identify_languages(pages.limit(0), language.text_model(make(odd))).count() == 0
+    nothing = language.identify_languages(pages, language.text_model(make(odd).limit(0)))
     assert nothing.count() == len(odd) and nothing.filter("lang IS NOT NULL").count() == 0
-    no_lang = language.identify_languages(pages, make(odd, langs=[None] * len(odd)))
+    no_lang = language.identify_languages(pages, language.text_model(make(odd, langs=[None] * len(odd))))
     assert no_lang.filter("lang IS NOT NULL").count() == 0
 
 

@@ -115,16 +115,16 @@ def _likelihood(seen: str, kinds: Column, langs: int, totals: str) -> Column:
     return F.array(*[F.log((F.col(seen)[i] - own(i) + EVIDENCE_ALPHA) / (F.col(totals)[i] - own(i) + EVIDENCE_ALPHA * (kinds + 1))) for i in range(langs)])
 
 
-def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id_col, lang, probability, text_lang, declared, host) of each page; the languages are those of docs.
+def identify_languages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id_col, lang, probability, text_lang, declared, host) of each page; model is from text_model(), whose languages are those known.
 
     A page without text is judged by the rest; text_lang is then null. Null
     markup and addresses are no evidence; an address without a host falls back
     on all pages' prior. Equal posteriors go to the language first by name.
-    Repeated pages are judged each. Without any language in docs, lang and
+    Repeated pages are judged each. Where the model knows no language, lang and
     probability are null. An empty table gives an empty one.
     """
-    langs, logs = text_model(docs, text_col, lang_col)
+    langs, logs = model
     html, url = quoted(html_col).cast("string"), quoted(url_col).cast("string")
     given = pages.select(quoted(id_col).alias("id"), declared_language(html).alias("declared"), host_of(url).alias("host"), page_text(html).alias("text"))
     if not langs:
@@ -177,4 +177,11 @@ def identify_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+    """(page_id, doc_id, lang, probability, text_lang, declared, host): every page, and every document as a page of plain text whose source is its host."""
+    docs = documents(spark, sf_dir)
+    model = text_model(docs)
+    ids = lambda page, doc: F.struct(page.cast("bigint").alias("page_id"), doc.cast("bigint").alias("doc_id")).alias("ids")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(ids(F.col("page_id"), F.lit(None)), "url", "html")
+    plain = docs.select(ids(F.lit(None), F.col("doc_id")), F.concat(F.lit("source://"), "source").alias("url"), F.col("text").alias("html"))
+    both = identify_languages(pages, model, "ids").union(identify_languages(plain, model, "ids"))
+    return both.select("ids.page_id", "ids.doc_id", "lang", "probability", "text_lang", "declared", "host")
