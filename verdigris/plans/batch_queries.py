@@ -114,7 +114,7 @@ m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL), n AS (SELECT label, sqr
 SELECT label, i, round(x / l, 6) + 0 AS x FROM m JOIN n USING (label)"""
 )
 def pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of each label as the states of one sequence, those of even number unmasked."""
+    """The vectors of each label as the states of one sequence; a mask leaves out every second one."""
     s = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list(F.struct("embedding", (1 - F.col("vec_id") % 2).cast("int").alias("m"))).alias("s"))
     pooled = s.select("label", encode.mean_pool(F.transform("s", lambda x: x.embedding), encode.checked_mask(F.transform("s", lambda x: x.m))).alias("p"))
     return pooled.select("label", F.posexplode("p").alias("i", "x")).select("label", F.col("i").cast("bigint").alias("i"), (F.round("x", 6) + 0).alias("x"))

@@ -18,7 +18,7 @@ LAST_DAY = "2024-01-31"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each role as a query: its turns by length as one source's list, all turns of even conversations by a scramble as the other's."""
+    """For each role as a query: its turns by length as one source's list, the same turns in a scrambled order as the other's."""
     c = read(spark, sf_dir, "conversations").select(
         F.when(F.col("role") == "user", 1).otherwise(0).cast("bigint").alias("query_id"), F.col("conv_id").cast("string").alias("doc_id"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("chunk_id"), F.char_length("text").cast("double").alias("len"), ((F.col("conv_id") * 7919 + F.col("turn") * 104729) % 10007).alias("mix")
     )
