@@ -52,6 +52,20 @@ def test_junk_goes_and_prose_stays(make, prose):
     assert len(kept & set(range(400))) >= 396 and len(kept & set(range(400, 412))) <= 5
 
 
+def test_common_symbol_junk_goes_by_its_words(make, prose):
+    """So much junk that characters take it for prose: words tell it, broadcast or joined."""
+    signs = ["###", "$$$", "%%%", "***"]
+    bad = [" ".join(w + signs[(i + len(w)) % 4] for i, w in enumerate(t.split())) for t in prose(60, words=120, seed=9)]
+    piped = [" | ".join(t.split()) for t in prose(30, words=120, seed=10)]
+    df = make(prose(300, words=120) + bad + piped + ["  \n", None])
+    seen = []
+    for most in (quality.BROADCAST_GRAMS, 0):
+        out, c = quality.perplexities(df, ["h1"], broadcast_grams=most, by_words=True)
+        seen.append({r.h1 for r in out.filter(F.col(c["kept"])).select("h1").collect()})
+    assert seen[0] == seen[1]
+    assert len(seen[0] & set(range(300))) >= 294 and len(seen[0] & set(range(300, 390))) <= 9
+
+
 def test_exact_dedup(make, odd, prose):
     texts = odd + prose(5) + prose(5)
     ids = [None if i % 4 == 0 else i % 7 for i in range(len(texts))]
