@@ -27,19 +27,55 @@ def own(df: DataFrame, *names: str) -> tuple[str, ...]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of this driver's own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's part of the folder that all executors share, which spark.checkpoint.dir names.
+
+    Where that is unset a folder of this machine serves a local master only: on
+    a cluster each executor would write to its own disk, so there it is an error.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if where is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="verdigris-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+        context.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/verdigris-{context.applicationId}"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+class TableLost(RuntimeError):
+    """A table that was written can't be seen from here."""
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written as a table in the shared folder and read again: cuts the lineage, and outlives executors. A table without files is an error, not an empty table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, _ = _files(spark, path)
+    if not fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")):
+        raise TableLost(f"no files in {path}; do all executors share that folder?")
+    out = spark.read.schema(df.schema).parquet(path)
+    out._verdigris_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that table() gave, once nothing that is still to run reads them."""
+    for t in tables:
+        fs, at = _files(t.sparkSession, t._verdigris_path)
+        fs.delete(at, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables of this application. Results that haven't been read yet are lost with them."""
+    fs, at = _files(spark, shared_dir(spark))
+    fs.delete(at, True)
 
 
 def quoted(name: str) -> Column:
