@@ -150,7 +150,7 @@ def test_secrets_are_those_of_brute_force(make, prose, tiktoken_encode):
     want = {i: s for i, t in enumerate(texts) if (s := brute_secrets(t, tiktoken_encode))}
     assert got == want
     share = [np.mean([i in got for i in range(k, len(texts), len(kinds))]) for k in range(len(kinds))]
-    assert min(share[k] for k in (0, 1, 2, 4, 7, 8, 9, 11, 12)) >= 0.9 and max(share[k] for k in (3, 5, 6, 10)) == 0
+    assert min(share[k] for k in (0, 1, 2, 4, 7, 8, 9, 12)) >= 0.9 and share[11] >= 0.5 and max(share[k] for k in (3, 5, 6, 10)) == 0
 
 
 def test_a_value_is_found_without_its_name(make):
@@ -184,7 +184,8 @@ def test_language_is_that_of_brute_force(spark, make, prose):
     assert got[20].declared is None and got[21].declared == "de" and got[21].host == "x.seite.de" and got[42].host is None
 
     # the fusion, page by page
-    langs, logs = language.text_model(docs)
+    model = language.text_model(docs)
+    langs, logs = model.langs, model.logs()[2]
     n, parsed = len(langs), []
     for i, url, html in rows:
         text = re.sub(r"(?is)<script\b.*?</script\s*>|<[^>]*>", " ", html or "").strip()
@@ -194,20 +195,21 @@ def test_language_is_that_of_brute_force(spark, make, prose):
         score = logs[:, bucket].sum(axis=1) / (language.UNIT * 3)
         host = (re.match(r"\w+://(?:[^/@]*@)?([^/:]+)", url or "") or [None, None])[1]
         declared = (re.search(r'<html lang="(\w+)', html or "") or [None, None])[1]
-        parsed.append((i, int(score.argmax()) if text else None, score, host, host and ".".join(host.split(".")[-2:]), host and host.split(".")[-1], declared))
+        dots = host.split(".") if host else []
+        parsed.append((i, int(score.argmax()) if text else None, score, host, ".".join(dots[-2:]) if dots[1:] else None, dots[-1] if dots[1:] else None, declared))
 
     def votes(keep, skip):
         return np.array([sum(1 for p in parsed if p is not skip and p[1] == k and keep(p)) for k in range(n)], float)
 
-    kinds = [len({p[k] for p in parsed if p[k] is not None}) for k in (6, 5)]
+    kinds = [len({p[6] for p in parsed if p[6] is not None})]
     for p in parsed:
         prior = (votes(lambda q: True, p) + language.PRIOR_WEIGHT / n) / (votes(lambda q: True, p).sum() + language.PRIOR_WEIGHT)
         for k in (5, 4, 3):
-            if p[3] is not None:
+            if p[k] is not None:
                 v = votes(lambda q: q[k] == p[k], p)
                 prior = (v + language.PRIOR_WEIGHT * prior) / (v.sum() + language.PRIOR_WEIGHT)
         total = np.log(prior) + p[2]
-        for k, m in zip((6, 5), kinds):
+        for k, m in zip((6,), kinds):
             if p[k] is not None:
                 total += np.log((votes(lambda q: q[k] == p[k], p) + language.EVIDENCE_ALPHA) / (votes(lambda q: q[k] is not None, p) + language.EVIDENCE_ALPHA * (m + 1)))
         assert got[p[0]].lang == langs[int(total.argmax())]
@@ -224,6 +226,43 @@ def test_language_held_out(spark, make):
     assert r > 0.9
 
 
+def test_plain_texts_are_judged_as_they_stand(spark, make, prose):
+    """What stands between '<' and '>' in a plain text counts; in markup it doesn't."""
+    de = ["ß" + t.replace("th", "sch").replace("an", "ung") for t in prose(30, seed=1)]
+    model = language.text_model(make(prose(30) + de, langs=["en"] * 30 + ["de"] * 30))
+    rows = [(0, None, "< " + " ".join(de[:5]) + " > " + prose(1, words=10, seed=3)[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert language.identify_languages(df, model, plain=True).first().text_lang == "de"
+    assert language.identify_languages(df, model).first().text_lang == "en"
+
+
+def test_a_document_does_not_vouch_for_itself(spark, make, prose):
+    """One odd text, labelled xx with its copies, is not taken for xx on its own count's word."""
+    odd = " ".join(["qqzz xxyy"] * 50)
+    docs = make(prose(40) + [odd, odd], langs=["en"] * 40 + ["xx"] * 2)
+    model = language.text_model(docs)
+    assert model.langs == ["en", "xx"] and (model.counts[:, 1].sum(axis=1) > 0).sum() == 1
+    pages = spark.createDataFrame([(0, None, odd)], "page_id long, url string, html string")
+    mine = language.identify_languages(pages, model, plain=True, counted=True).first()
+    other = language.identify_languages(pages, model, plain=True).first()
+    assert other.lang == "xx" and other.probability > mine.probability or mine.lang != "xx"
+    assert language.text_model(docs, most_languages=1).langs == ["en"]
+
+
+def test_hosts_and_their_parts(spark):
+    df = spark.createDataFrame([("www.bbc.co.uk",), ("a.b.example.org",), ("localhost",), (None,), ("x.de",)], "h string")
+    got = [tuple(r) for r in df.select(language.domain_of(F.col("h")), language.suffix_of(F.col("h"))).collect()]
+    assert got == [("bbc.co.uk", "uk"), ("example.org", "org"), (None, None), (None, None), ("x.de", "de")]
+
+
+def test_ties_and_clashing_names(spark, make):
+    """Equal posteriors go to the first name; the pages' other columns don't matter, whatever their names."""
+    model = language.text_model(make(["same text"] * 2, langs=["bb", "aa"]))
+    pages = spark.createDataFrame([(1, None, "same text", "x", 1, 2.0)], "page_id long, url string, html string, lang string, vote int, prior double")
+    row = language.identify_languages(pages, model).first()
+    assert row.lang == "aa" and abs(row.probability - 0.5) < 1e-9
+
+
 def test_language_of_odd_tables(spark, make, odd):
     pages = spark.createDataFrame([(None, None, t) for t in odd], "page_id long, url string, html string")
     assert language.identify_languages(pages, language.text_model(make(odd))).count() == len(odd)
