@@ -158,14 +158,14 @@ def test_near_dedup_of_odd_tables(make, prose):
     assert simhash_dedup.simhash_dedup(null_ids).count() == 3
 
 
-@pytest.mark.parametrize("weights", [None, {"src0": 3.0, "src1": 1.0, None: 0.5, "src9": 0.0}])
+@pytest.mark.parametrize("weights", [None, {"src0": 3.0, "src1": 1.0, None: 0.5, "src9": 0.0}, {"src0": 1.0, "src1": 2.0**-40, None: 1e-3}])
 def test_mixing_is_that_of_brute_force(make, prose, weights):
     texts = prose(60, words=12) + [None, "", "one"]
     sources = [None if i % 11 == 0 else f"src{i % 3}" for i in range(63)]
     df = make(texts, sources=sources)
     mixed, c = mixing.mix_sources(df, weights, block_tokens=50)
     got = sorted((r.s, str(r.source), r.doc_id) for r in mixed.select(F.col(c["slot"]).alias("s"), "source", "doc_id").collect())
-    want = brute.mixture([{"doc_id": i, "text": t, "source": s} for i, (t, s) in enumerate(zip(texts, sources))], weights, mixing.ALPHA, 50, mixing.SEED)
+    want = brute.mixture([{"doc_id": i, "text": t, "source": s} for i, (t, s) in enumerate(zip(texts, sources))], weights, mixing.ALPHA, 50, mixing.SEED, mixing.MAX_EPOCHS)
     assert got == sorted((a, str(b), d) for a, b, d in want)
 
 
@@ -178,12 +178,38 @@ def test_mixing_of_odd_tables(make, odd):
 
 
 def test_mixture_follows_its_weights(make, prose):
-    df = make(prose(300, words=20), sources=["a"] * 150 + ["b"] * 150)
-    mixed, c = mixing.mix_sources(df, {"a": 3.0, "b": 1.0}, block_tokens=100)
+    """One large source and small ones, some below a block: shares of tokens are the weights'."""
+    texts = prose(400, words=20)
+    df = make(texts, sources=["a"] * 340 + ["b"] * 50 + ["c"] * 8 + ["d"] * 2)
+    weights = {"a": 0.9, "b": 0.07, "c": 0.025, "d": 0.005}
+    mixed, c = mixing.mix_sources(df, weights, block_tokens=100, max_epochs=40)
     n = Counter()
     for r in mixed.select("source", F.col(c["tokens"]).alias("n")).collect():
         n[r.source] += r.n
-    assert 2.6 < n["a"] / n["b"] < 3.4
+    total = sum(n.values())
+    assert all(0.75 < n[k] / total / w < 1.3 for k, w in weights.items()), n
+
+
+def test_no_source_is_lost_and_repeats_are_bounded(make, prose):
+    df = make(prose(60, words=20), sources=["a"] * 30 + ["b"] * 25 + ["c"] * 5)
+    mixed, _ = mixing.mix_sources(df, {"a": 1.0, "b": 2.0**-33, "c": 50.0}, block_tokens=60)
+    n = Counter(r.h1 for r in mixed.select("h1").collect())
+    assert set(n) == set(range(60)) and max(n.values()) <= mixing.MAX_EPOCHS
+    assert max(n[i] for i in range(30, 55)) <= 2 and min(n[i] for i in range(55, 60)) > 1
+
+
+def test_equal_rows_have_places_of_their_own(make, prose):
+    df = make(prose(10))
+    three = df.union(df).union(df)
+    n = Counter(r.h1 for r in mixing.mixture_stage(three).select("h1").collect())
+    assert set(n) == set(range(10)) and min(n.values()) >= 3
+
+
+def test_mixing_has_the_rows_of_sql(make, prose):
+    df = make(prose(50, words=3000), sources=[None if i % 13 == 0 else f"src{i * i % 4}" for i in range(50)]).select("doc_id", "source", "text")
+    documents = df.toPandas()  # noqa: F841
+    at = mixing.placements(df).select("slot", "source", "nth", "id", "start", "tokens").collect()
+    assert sorted(map(str, map(tuple, at))) == sorted(map(str, duckdb.query(mixing.OP2_SQL).fetchall()))
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
@@ -194,7 +220,7 @@ def test_stages_on_odd_and_empty_tables(spark, make, odd, name, stage):
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == docs.columns
         rows = out.collect()
-        assert len(rows) <= 3 * docs.count()
+        assert len(rows) <= mixing.MAX_EPOCHS * docs.count()
 
 
 def test_pipeline_is_that_of_brute_force(spark, prose, tmp_path):
@@ -214,6 +240,6 @@ def test_pipeline_is_that_of_brute_force(spark, prose, tmp_path):
     text = {r["doc_id"]: r["text"] for r in kept}
     encoder = Encoder(Vocabulary.read(VOCABULARY))
     want: Counter = Counter()
-    for _, _, doc in brute.mixture(kept, None, mixing.ALPHA, mixing.BLOCK_TOKENS, mixing.SEED):
+    for _, _, doc in brute.mixture(kept, None, mixing.ALPHA, mixing.BLOCK_TOKENS, mixing.SEED, mixing.MAX_EPOCHS):
         want[doc, tuple(next(encoder.encode_column(pa.array([text[doc]])))[0].tolist())] += 1
     assert got == want
