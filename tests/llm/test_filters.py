@@ -1,6 +1,8 @@
 """Quality rules, exact and near dedup, mixing and the pipeline, against brute force and on odd tables."""
 
 import math
+import random
+import re
 from collections import Counter
 
 import brute
@@ -116,36 +118,110 @@ def near_copies(texts, seed=5):
     return out
 
 
+def words_of(text):
+    """As the fingerprints define words, by characters."""
+    kana = r"[\u3000-\u9fff\u0e00-\u0eff\U00010000-\U0003ffff]"
+    low = "".join(chr(ord(c) + 32) if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "\xc0" <= c <= "\xde" and c != "\xd7" else c for c in text or "")
+    return re.findall(rf"{kana}|(?:(?!{kana})[0-9a-z\x80-\U0010ffff])+", low)
+
+
+def fingerprint(text, bits):
+    """One text's, feature by feature, from the definition; hashes of single words are the library's."""
+    from verdigris.llm import textops as X
+
+    m, votes = (1 << 64) - 1, [0] * bits
+    mix = lambda h: (h := (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m, h := (h ^ h >> 27) * 0x94D049BB133111EB & m, h ^ h >> 31)[-1]  # noqa: E731, F841
+    golden, salt, low = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, (1 << 44) - 1
+    words = []
+    for w in words_of(text):
+        raw = w.encode()
+        words.append(int(X.hash_spans(np.frombuffer(raw + bytes(16), np.uint8), np.array([0]), np.array([len(raw)]))[0]))
+    features = {(h & low, 2, "w") for h in words} | {(mix((a * golden + b) & m) & low, 1, "p") for a, b in zip(words, words[1:])}
+    for h, weight, _ in features:
+        for lane in range(-(-bits // 64)):
+            x = mix((h * golden + salt * (2 * lane + 1)) & m)
+            for i in range(min(64, bits - 64 * lane)):
+                votes[64 * lane + i] += weight if x >> i & 1 else -weight
+    return [v > 0 for v in votes], len(set(words))
+
+
+def kept_of_all_pairs(texts, layout):
+    prints, size = zip(*[fingerprint(t, layout.n_bits) for t in texts])
+    prints, some = np.array(prints), np.flatnonzero(size)
+    d = (prints[some][:, None, :] != prints[some][None, :, :]).sum(axis=2)
+    root = brute.components(len(some), [(i, j) for i, j in np.argwhere(d <= layout.max_distance) if i < j])
+    return {int(some[i]) for i in range(len(some)) if root[i] == i} | {i for i, n in enumerate(size) if n == 0}
+
+
 def test_near_dedup_is_that_of_all_pairs(make, prose, odd):
-    base = prose(80, words=120)
-    texts = base + near_copies(base[:40]) + near_copies(near_copies(base[:10]), 6) + odd
+    base = prose(60, words=80)
+    texts = base + near_copies(base[:30]) + near_copies(near_copies(base[:10]), 6) + [t for t in odd if t is None or len(t) < 1000]
     df = make(texts)
     rows = simhash_dedup.simhash_dedup(df)
     assert rows.columns == df.columns
     kept = {r.h1 for r in rows.select("h1").collect()}
-    prints, size = simhash_dedup.fingerprints(pa.array(texts), simhash_dedup.fingerprint_bits())
-    some = np.flatnonzero(size)
-    d = np.array([[np.bitwise_count(prints[a] ^ prints[b]).sum() for b in some] for a in some])
-    root = brute.components(len(some), [(i, j) for i, j in np.argwhere(d <= simhash_dedup.MAX_DISTANCE) if i < j])
-    want = {int(some[i]) for i in range(len(some)) if root[i] == i} | {int(i) for i in np.flatnonzero(size == 0)}
-    assert kept == want
-    assert kept & set(range(80)) == set(range(80)) and not kept & set(range(80, 130))
-
-
-def test_near_pairs_beyond_the_exact_reach(spark):
-    """Recall over pairs at every distance up to the limit."""
+    assert kept == kept_of_all_pairs(texts, simhash_dedup.layout_for(len(texts)))
+    assert kept & set(range(60)) == set(range(60)) and not kept & set(range(60, 100))
+
+
+def test_order_and_scripts_without_spaces(make, prose):
+    """A text's words in another order are another text; a changed character of a Japanese text isn't, nor are texts that share no more than their script."""
+    rng = random.Random(4)
+    kanji = ["".join(rng.choice("日本語文章検索評価結果方法問題研究計算機学習言語処理") for _ in range(120)) for _ in range(3)]
+    text = prose(1, words=150)[0]
+    texts = [text, " ".join(reversed(text.split())), kanji[0], kanji[0][:60] + "新" + kanji[0][61:], kanji[1], kanji[2]]
+    assert {r.h1 for r in simhash_dedup.simhash_dedup(make(texts)).select("h1").collect()} == {0, 1, 2, 4, 5}
+
+
+def test_long_texts_in_pieces(prose):
+    """A text in pieces has the fingerprint of the whole, also without any space; near copies of very long texts are near."""
+    n = simhash_dedup.layout_for(1).n_bits
+    for text in (" ".join(f"w{i * 7919 % 1000003}" for i in range(1_300_000)), "語" * 3_000_001, "x" * 9_000_000):
+        buf = np.frombuffer(text.encode() + bytes(16), np.uint8)
+        size = len(buf) - 16
+        got, sizes = simhash_dedup.fingerprints(pa.array([text]), n)
+        h, _, _, firsts = simhash_dedup.X.words(buf, np.array([0, size]))
+        words, pairs = (np.unique(x & simhash_dedup._LOW) for x in (h, simhash_dedup._pairs(h, np.ones(len(h) - 1, bool))))
+        if text[0] != "x":  # one word longer than a piece is cut
+            ones = 2 * simhash_dedup._sums(words, 3) + simhash_dedup._sums(pairs, 3)
+            want = np.packbits(2 * ones > 2 * len(words) + len(pairs), bitorder="little").view(np.uint64)
+            assert (got[0] == want).all() and sizes[0] == len(words)
+
+
+@pytest.mark.parametrize("n_rows", [1000, 10**9])
+def test_recall_at_every_distance(spark, n_rows):
+    """Exact up to 23 bits; beyond, as often as promised, in a layout for few rows and in one for many."""
+    layout = simhash_dedup.layout_for(n_rows)
     rng = np.random.default_rng(2)
-    n, bits = 600, simhash_dedup.fingerprint_bits()
-    a = rng.integers(0, 2**63, (n, 3)).astype(np.uint64)
+    n, bits = 500, layout.n_bits
+    a = rng.integers(0, 2, (n, bits)).astype(np.uint8)
     b = a.copy()
-    distance = rng.integers(1, simhash_dedup.MAX_DISTANCE + 1, n)
+    distance = np.where(np.arange(n) % 2, layout.max_distance, rng.integers(1, layout.max_distance + 1, n))
     for i in range(n):
-        for bit in rng.choice(bits, distance[i], replace=False):
-            b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    rows = [(i, [int(x) for x in v.view(np.int64)]) for i, v in enumerate(np.concatenate([a, b]))]
-    edges = {(r.u, r.v) for r in simhash_dedup.near_edges(spark.createDataFrame(rows, "id long, fp array<long>")).collect()}
+        b[i, rng.choice(bits, distance[i], replace=False)] ^= 1
+    full = np.zeros((2 * n, layout.lanes * 64), np.uint8)
+    full[:, :bits] = np.concatenate([a, b])
+    prints = np.packbits(full, axis=1, bitorder="little").view(np.int64)
+    rows = [(i, [int(x) for x in v]) for i, v in enumerate(prints)]
+    edges = {(r.u, r.v) for r in simhash_dedup.near_edges(spark.createDataFrame(rows, "id long, fp array<long>"), layout).collect()}
     found = np.array([(i + n, i) in edges for i in range(n)])
-    assert found[distance < 3 * simhash_dedup.SEGMENTS].all() and found.mean() > 0.97
+    assert found[distance < 3 * simhash_dedup.SEGMENTS].all() and found[1::2].mean() > simhash_dedup.RECALL - 0.03
+
+
+def test_a_hot_bucket_is_searched_whole(monkeypatch):
+    """Keys of many rows, from leaders and in parts, have the links of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2, (4, 192)).astype(np.uint8)
+    rows = np.concatenate([centres[rng.integers(0, 4, 300)]])
+    for i in range(len(rows)):
+        rows[i, 24 + rng.choice(168, rng.integers(0, 24), replace=False)] ^= 1
+    prints = np.packbits(rows, axis=1, bitorder="little").view(np.uint64)
+    d = np.array([simhash_dedup.distances(p[None, :], prints) for p in prints])
+    for most in (simhash_dedup._KEYS_AT_ONCE, 999):
+        monkeypatch.setattr(simhash_dedup, "_KEYS_AT_ONCE", most)
+        u, v = simhash_dedup.bucket_edges(np.zeros(300, np.int64), np.zeros(300, np.uint64), prints, np.arange(300), 16, 34)
+        root = brute.components(300, list(zip(u.tolist(), v.tolist())))
+        assert root == brute.components(300, [(i, j) for i, j in np.argwhere(d <= 34) if i < j])
 
 
 def test_near_dedup_of_odd_tables(make, prose):
@@ -154,6 +230,8 @@ def test_near_dedup_of_odd_tables(make, prose):
     twice = df.union(df).drop("m")
     assert simhash_dedup.simhash_dedup(twice).count() == 1
     assert simhash_dedup.simhash_dedup(df.limit(0)).count() == 0
+    strings = make(prose(2) * 2).withColumn("doc_id", F.concat(F.lit("k"), 9 - F.col("doc_id")))
+    assert sorted(r.doc_id for r in simhash_dedup.simhash_dedup(strings).collect()) == ["k6", "k7"]
     null_ids = make(prose(3), ids=[None, None, None])
     assert simhash_dedup.simhash_dedup(null_ids).count() == 3
 
@@ -233,10 +311,8 @@ def test_pipeline_is_that_of_brute_force(spark, prose, tmp_path):
 
     kept = [r for r, q in zip(rows, brute.quality([(r["text"], r["lang"]) for r in rows])) if q[-1]]
     kept = sorted(brute.exact(kept), key=lambda r: r["doc_id"])
-    prints, size = simhash_dedup.fingerprints(pa.array([r["text"] for r in kept]), simhash_dedup.fingerprint_bits())
-    near = [(i, j) for i in range(len(kept)) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash_dedup.MAX_DISTANCE]
-    root = brute.components(len(kept), near)
-    kept = [r for i, r in enumerate(kept) if root[i] == i]
+    stay = kept_of_all_pairs([r["text"] for r in kept], simhash_dedup.layout_for(len(kept)))
+    kept = [r for i, r in enumerate(kept) if i in stay]
     text = {r["doc_id"]: r["text"] for r in kept}
     encoder = Encoder(Vocabulary.read(VOCABULARY))
     want: Counter = Counter()

@@ -74,8 +74,8 @@ def fold_case(buf: np.ndarray) -> np.ndarray:
     return low
 
 
-def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of mask, cut at rows; and where the runs of each row begin among them."""
+def runs(mask: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of mask, cut at rows (and where cuts is set); and where the runs of each row begin among them."""
     total = int(offsets[-1])
     mask = mask[:total]
     before, after = np.empty(total, bool), np.empty(total, bool)
@@ -85,6 +85,9 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         edges = offsets[(offsets > 0) & (offsets < total)]
         before[edges] = False
         after[edges - 1] = False
+        if cuts is not None:
+            before &= ~cuts[:total]
+            after[:-1] &= ~cuts[1:total]
     starts = np.flatnonzero(mask & ~before)
     ends = np.flatnonzero(mask & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
@@ -109,10 +112,29 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return h
 
 
+_WIDE = np.zeros(256, dtype=bool)
+_WIDE[0xE3:0xEA] = _WIDE[0xF0] = True
+
+
+def wide_cuts(buf: np.ndarray) -> np.ndarray | None:
+    """Where characters of scripts without spaces (kana, ideographs, Thai and its kin, and all beyond the basic plane) begin and end, if there are any: each is a word of its own."""
+    wide = _WIDE[buf]
+    thai = np.flatnonzero(buf[:-1] == 0xE0)
+    thai = thai[(buf[thai + 1] >= 0xB8) & (buf[thai + 1] <= 0xBB)]
+    wide[thai] = True
+    at = np.flatnonzero(wide)
+    if not at.size:
+        return None
+    cuts = wide
+    ends = at + np.where(buf[at] == 0xF0, 4, 3)
+    cuts[ends[ends < len(buf)]] = True
+    return cuts
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and lengths of case-folded words, and where each row's begin among them."""
+    """Hashes, starts and lengths of case-folded words, and where each row's begin among them; see wide_cuts() for scripts without spaces."""
     low = fold_case(buf)
-    starts, ends, firsts = runs(WORD_BYTE[low], offsets)
+    starts, ends, firsts = runs(WORD_BYTE[low], offsets, wide_cuts(buf))
     return hash_spans(low, starts, ends - starts), starts, ends - starts, firsts
 
 
