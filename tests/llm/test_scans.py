@@ -18,37 +18,44 @@ def shingles_of(text):
     return list(zip(words, words[1:]))
 
 
-def brute_licenses(text, least=licenses.LEAST_CONTAINMENT):
-    """Licenses of which some window of any place holds enough of a template."""
+def brute_licenses(text, least=0.9):
+    """{license: containment} of windows at any place; a set of all places at which the best is reached as well."""
     own, found = shingles_of(text), {}
-    for name, template in licenses.TEMPLATES:
-        t = set(shingles_of(template))
+    sets = [(name, set(shingles_of(t))) for name, t in licenses.TEMPLATES]
+    for name, t in sets:
+        related = [(u, n) for n, u in sets if n != name and len(t & u) >= 0.6 * len(t)]
+        need = {x for u, _ in related if t - u for x in t - u}
         size = 2
         while size < 1.25 * len(t):
             size *= 2
-        best = max((len(t & set(own[i : i + size])) / len(t) for i in range(max(1, len(own)))), default=0)
-        if best >= least:
-            found[name] = max(found.get(name, 0), best)
+        for i in range(max(1, len(own))):
+            window = set(own[i : i + size])
+            n = len(t & window)
+            if n < least * len(t) and n < max(len(t) - 2, 4) or not need <= window:
+                continue
+            if any(not t - u and len(u) > len(t) and u - t <= window for u, _ in related):
+                continue
+            found.setdefault(name, {}).setdefault(n / len(t), set()).add(i)
     return found
 
 
 def test_licenses_are_those_of_brute_force(make, prose):
     rng = random.Random(3)
     texts = []
-    for i, text in enumerate(prose(120, words=60)):
+    for i, text in enumerate(prose(160, words=60)):
         words = text.split()
         for name, template in rng.sample(licenses.TEMPLATES, i % 3):
             t = template.split()
-            if len(t) > 12 and i % 2:
+            if len(t) > 5 and i % 2:
                 t[rng.randrange(len(t))] = "altered"
             words[(at := rng.randrange(len(words))) : at] = [x.upper() if i % 5 == 0 else x for x in t]
         texts.append(" ".join(words))
-    got = {}
-    for r in licenses.scan_licenses(make(texts)).collect():
-        got[r.doc_id, r.license] = r.containment
+    got = {(r.doc_id, r.license): (r.containment, r.first_word) for r in licenses.scan_licenses(make(texts)).collect()}
     want = {(i, name): x for i, t in enumerate(texts) for name, x in brute_licenses(t).items()}
-    assert len(want) > 80 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
-    assert all(abs(got[k] - want[k]) < 0.11 for k in got)
+    assert len(want) > 100 and set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    # windows are on a grid: what is found is found at that place by brute force too, and mostly the best there is
+    assert all(word in want[k].get(share, ()) for k, (share, word) in got.items())
+    assert np.mean([got[k][0] == max(want[k]) for k in got]) > 0.9
 
 
 def test_every_template_is_found_and_others_are_not(make):
@@ -60,6 +67,42 @@ def test_every_template_is_found_and_others_are_not(make):
         licenses.Templates([("X", "mit license")])
 
 
+def test_related_licenses_are_told_apart(make):
+    lesser = "under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+    texts = {
+        lesser.format("Affero General Public License", 3): {"AGPL-3.0-or-later"},
+        lesser.format("Lesser General Public License", "2.1"): {"LGPL-2.1-or-later"},
+        lesser.format("General Public License", 2): {"GPL-2.0-or-later"},
+        "SPDX-License-Identifier: GPL-2.0-or-later": {"GPL-2.0-or-later"},
+        "SPDX-License-Identifier: MIT-0": {"MIT-0"},
+        "SPDX-License-Identifier: MIT": {"MIT"},
+        "Licensed under CC BY-NC-SA 4.0": {"CC-BY-NC-SA-4.0"},
+        "Licensed under the Apache License, Version 1.1": {"Apache-1.1"},
+        "it is Licensed under an Apache License, Version 2.0 here": {"Apache-2.0"},
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": {"BSD"},
+    }
+    got = {i: set() for i in range(len(texts))}
+    for r in licenses.scan_licenses(make(list(texts))).collect():
+        got[r.doc_id].add(r.license)
+    assert list(got.values()) == list(texts.values())
+
+
+def test_a_copy_is_missed_as_rarely_as_said(prose):
+    """Copies of a notice among other words, one word changed: windows are looked at, and verified, nearly always."""
+    known = licenses.Templates(licenses.TEMPLATES)
+    rng, missed, tried = random.Random(6), 0, 0
+    words = " ".join(prose(300, words=60)).split()
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        for _ in range(8):
+            t = template.split()
+            at = rng.randrange(len(words) - 40)
+            text = " ".join(words[at : at + 20] + t + words[at + 20 : at + 40])
+            buf = np.frombuffer(text.encode() + bytes(X.PAD), np.uint8)
+            found = {known.names[i] for i, *_ in known.matches(*licenses.shingles(buf, np.array([0, len(buf) - X.PAD])), 0.9)}
+            missed, tried = missed + (name not in found), tried + 1
+    assert missed <= tried * 0.002
+
+
 def test_a_template_beyond_a_rows_end(make):
     """Half a template at the end of a row and half at the next one's beginning is none."""
     assert licenses.scan_licenses(make(["text Licensed under the Apache", "License, Version 2.0 more"])).count() == 0
