@@ -58,7 +58,8 @@ def test_probabilities_add_up(spark, make, prose, room):
     entries, _ = quality.kneser_ney(quality.count_grams(make(texts).select(F.lit(5).cast("long").alias("seed"), "text")), model_grams=room)
     rows = entries.collect()
     assert len(rows) <= room + 1
-    arrays = quality.Model(*[np.array([r[c] for r in rows]) for c in ("seed", "k", "hi", "lo", "logp", "back")])
+    seed, k, hi, lo, logp, back = (np.array([r[c] for r in rows]) for c in ("seed", "k", "hi", "lo", "logp", "back"))
+    arrays = quality.Model(quality.entry_hashes(seed, k, hi, lo), logp, back)
     for context in ("", "t", "th", "the ", "zzzz", "日本", "ther"):
         g = [chr(quality.MARK) * (4 - len(context[-4:])) + context[-4:] + x for x in model.letters]
         assert abs(sum(map(model.p, g)) + 1 / (len(model.letters) + 1) * np.prod([model.gamma[y] for k in range(5) if (y := g[0][k:4]) in model.gamma and (not y or y in model.own)]) - 1) < 1e-9
