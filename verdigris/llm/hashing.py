@@ -13,7 +13,10 @@ class SortedHash:
         self.n = len(keys)
         bits = max(1, int(self.n).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.begin = np.empty(1 << bits, np.int32)
+        for at in range(0, 1 << bits, 1 << 16):  # in parts, for the driver's memory
+            end = min(1 << bits, at + (1 << 16))
+            self.begin[at:end] = np.searchsorted(keys, np.arange(at, end, dtype=np.uint64) << self.shift)
         self.keys = np.append(keys, np.uint64(2**64 - 1))
 
     def find(self, h: np.ndarray) -> np.ndarray:
