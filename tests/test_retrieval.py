@@ -81,7 +81,7 @@ def test_bm25_against_sqlite(spark):
     for asked in ("apple", "apple pie", "crust", "banana pie"):
         want = {i: s for i, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (" AND ".join(f'"{w}"' for w in asked.split()),))}
         q = spark.createDataFrame([(0, asked)], schemas.QUERIES)
-        got = {r.doc_id: r.score for r in fulltext.bm25(fulltext.phrases(q), fulltext.postings(docs), docs).collect()}
+        got = {r.doc_id: r.score for r in fulltext.bm25(fulltext.phrases(q), fulltext.tokenized(docs)).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
@@ -330,3 +330,53 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+
+
+def test_index_gives_the_scores_of_the_texts(spark, tmp_path):
+    from verdigris.operators import fulltext
+
+    rows = [(1, "rate-limit the rate limit"), (2, "limit rate"), (3, None), (4, ""), (5, "the a a a the"), (6, "rate limit " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    q = spark.createDataFrame([(0, "rate-limit"), (1, "the"), (2, "a:a the"), (3, "absent"), (4, None)], "query_id bigint, query string")
+    split, asked = fulltext.tokenized(docs), fulltext.phrases(q)
+    fulltext.write_index(split, str(tmp_path / "index"), buckets=4)
+    post, lengths = fulltext.read_index(spark, str(tmp_path / "index"), asked, buckets=4)
+    got = sorted(map(tuple, fulltext.bm25_of(asked, post, lengths).collect()))
+    assert got == sorted(map(tuple, fulltext.bm25(asked, split).collect()))
+    hits = {(r.query_id, r.doc_id, r.tf) for r in fulltext.phrase_hits(asked, fulltext.postings(docs)).collect()}
+    assert hits >= {(0, 1, 2), (0, 6, 50), (1, 1, 1), (1, 5, 2), (2, 5, 2), (2, 1, 1)} and not any(h[0] > 2 or h[:2] == (0, 2) for h in hits)
+    assert {(r.query_id, r.doc_id) for r in fulltext.match_all(asked, fulltext.postings(docs)).collect()} == {(0, 1), (0, 6), (1, 1), (1, 5), (2, 5)}
+
+
+def test_bm25_explodes_documents_once(spark, tmp_path):
+    from verdigris.operators import fulltext
+
+    spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    q = spark.createDataFrame([(0, "b")], "query_id bigint, query string")
+    plan = fulltext.bm25(fulltext.phrases(q), fulltext.tokenized(spark.read.parquet(str(tmp_path / "d"))))
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert text.count("FileScan parquet") <= 3
+
+
+def test_vocabulary_by_table_name(spark):
+    from verdigris.functions import match
+    from verdigris.operators import fulltext
+
+    assert fulltext.vocabulary_table(spark, "no_such_table") is None
+    with pytest.raises(match.InvalidVocabTable):
+        fulltext.vocabulary_table(spark, "a; DROP TABLE b")
+    docs = spark.createDataFrame([(1, "to tea to"), (2, "tea"), (3, None), (4, "")], "doc_id bigint, text string")
+    fulltext.vocabulary_of(fulltext.tokenized(docs)).createOrReplaceTempView("some_vocab")
+    rows = {tuple(r) for r in fulltext.vocabulary_table(spark, "some_vocab").select("term", "docs", "cnt").collect()}
+    assert rows == {("to", 1, 2), ("tea", 2, 2)} == {tuple(r) for r in fulltext.vocabulary(fulltext.postings(docs)).collect()}
+
+
+def test_pooled_rows(spark):
+    from pyspark.sql import functions as F
+
+    from verdigris.operators import encode
+
+    rows = [("a", 1, [3.0, 0.0]), ("a", 1, [3.0, 8.0]), ("a", 0, [9.0, 9.0]), (None, 1, [0.0, 0.0]), ("b", 0, [1.0, 1.0]), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, m int, embedding array<float>")
+    got = {(r.g, r.i): round(r.x, 6) for r in encode.pool_rows(df, ["g"], mask=F.col("m")).collect()}
+    assert got == {("a", 0): 0.6, ("a", 1): 0.8, (None, 0): 0.0, (None, 1): 0.0}

@@ -10,35 +10,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verdigris.config import Normalization
+from verdigris.functions.match import let
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Texts of ASCII alone, the most of many corpora, take the shorter way of each step.
+_OTHER = r"[^\x00-\x7F]"
+
+
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+_LOWERED = str.maketrans(_UPPER, _LOWER)
+
+
+def _folded_lower(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t).translate(_LOWERED), na_action="ignore")
+
+
 def nfkc(text: Column) -> Column:
     """Unicode compatibility composition. Only rows with other than ASCII characters are sent to Python."""
     fold = F.pandas_udf(_folded, "string")
-    return F.coalesce(fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(fold(F.when(text.rlike(_OTHER), text)), text)
 
 
 def ascii_lower(text: Column) -> Column:
     """Lower case for A to Z alone."""
-    return F.translate(text, _UPPER, _LOWER)
+    return let(text, lambda t: F.when(t.rlike(_OTHER), F.translate(t, _UPPER, _LOWER)).otherwise(F.lower(t)))
 
 
 def collapse_whitespace(text: Column) -> Column:
     """Runs of Unicode white space become one space; none stays at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return let(text, lambda t: F.trim(F.when(t.rlike(r"(?U)[\s&&[^ ]]|  "), F.regexp_replace(t, r"(?U)\s+", " ")).otherwise(t)))
 
 
 def normalize(text: Column, cfg: Normalization = Normalization()) -> Column:
     """The steps that cfg has on, in this order. With all off the text stays as it is."""
-    if cfg.nfkc:
+    if cfg.nfkc and cfg.lower:  # both in one visit to Python, for the rows that go there
+        fold = F.pandas_udf(_folded_lower, "string")
+        text = F.coalesce(fold(F.when(text.rlike(_OTHER), text)), F.lower(text))
+    elif cfg.nfkc:
         text = nfkc(text)
-    if cfg.lower:
+    elif cfg.lower:
         text = ascii_lower(text)
     return collapse_whitespace(text) if cfg.whitespace else text
 
@@ -56,7 +71,8 @@ def _accents() -> tuple[str, str]:
 
 def strip_accents(text: Column) -> Column:
     """Latin letters without their marks, and no combining marks."""
-    return F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}+", "")
+    bare = let(text, lambda t: F.when(t.rlike("[À-ɏḀ-ỿ]"), F.translate(t, *_accents())).otherwise(t))
+    return let(bare, lambda t: F.when(t.rlike(_OTHER), F.regexp_replace(t, r"\p{Mn}+", "")).otherwise(t))
 
 
 def terms(text: Column) -> Column:

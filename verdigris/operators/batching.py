@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.config import BUCKET_BOUNDS, TOKEN_BUDGET
+from verdigris.sources.shared import written
 
 
 def bucket_of(length: Column) -> Column:
@@ -25,10 +26,19 @@ def sub_batch_size(bound: int, budget: int = TOKEN_BUDGET) -> int:
 
 
 def assign(chunks: DataFrame, budget: int = TOKEN_BUDGET, length: str = "length", order: tuple[str, ...] = ("doc_id", "chunk_idx")) -> DataFrame:
-    """chunks with bucket and sub_batch: in each bucket, in order, as many as the budget allows at the bucket's bound."""
-    at = Window.partitionBy("bucket").orderBy(*order)
+    """chunks with bucket and sub_batch: in each bucket, in order, as many as the budget allows at the bucket's bound.
+
+    There are four buckets, so numbering them one by one would be four tasks.
+    Chunks are dealt by ranges of the order and numbered within each range; the
+    ranges' counts, four numbers a range, give where each begins."""
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / bound_of(F.col("bucket"))))
-    return chunks.withColumn("bucket", bucket_of(F.col(length))).withColumn("sub_batch", F.floor((F.row_number().over(at) - 1) / size).cast("int"))
+    placed = chunks.withColumn("bucket", bucket_of(F.col(length))).repartitionByRange("bucket", *order).withColumn("__part", F.spark_partition_id())
+    within = Window.partitionBy("__part", "bucket").orderBy(*order)
+    placed = written(placed.withColumn("__nth", F.row_number().over(within)), "ranges")  # the same ranges for both uses
+    before = Window.partitionBy("bucket").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__part", "bucket").agg(F.count("*").alias("n")).select("__part", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    numbered = placed.join(F.broadcast(counts), ["__part", "bucket"])  # a row for each range and bucket
+    return numbered.withColumn("sub_batch", F.floor((F.col("__before") + F.col("__nth") - 1) / size).cast("int")).select(*chunks.columns, "bucket", "sub_batch")
 
 
 def histogram(chunks: DataFrame, length: str = "length") -> DataFrame:

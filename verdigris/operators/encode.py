@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.config import PREFIXES
+from verdigris.functions.match import let
 from verdigris.operators.rerank import Lazy
 
 TINY = float(np.finfo(np.float32).tiny)
@@ -129,11 +130,24 @@ def local_mask(length: Column, window: int) -> Column:
 
 def mean_pool(states: Column, mask: Column) -> Column:
     """The mean of the states (array of vectors) whose mask is 1, scaled to length 1. A length under the least positive float counts as that; an all-zero mask divides by zero (NaN) and is to be refused before, by checked_mask()."""
-    dim = F.size(F.get(states, F.lit(0)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    weighted = F.zip_with(states, mask, lambda s, m: F.transform(s, lambda x: x.cast("double") * m))
-    total = F.aggregate(weighted, zero, lambda a, s: F.zip_with(a, s, lambda x, y: x + y))
     n = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m)
-    mean = F.transform(total, lambda x: F.when(n != 0, x / n).otherwise(F.lit(float("nan"))))
-    length = F.greatest(F.sqrt(F.aggregate(mean, F.lit(0.0), lambda a, x: a + x * x)), F.lit(TINY))
-    return F.transform(mean, lambda x: x / length)
+    zero = F.array_repeat(F.lit(0.0), F.size(F.get(states, F.lit(0))))
+    pairs = F.zip_with(states, mask, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+    total = F.aggregate(pairs, zero, lambda a, p: F.zip_with(a, p["s"], lambda x, y: x + y.cast("double") * p["m"]))
+    return let(n, lambda n: unit(F.transform(total, lambda x: F.when(n != 0, x / n).otherwise(F.lit(float("nan"))))))
+
+
+def unit(vector: Column) -> Column:
+    """The vector scaled to length 1; a length under the least positive float counts as that."""
+    length = lambda v: F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(TINY))
+    return let(vector, lambda v: let(length(v), lambda n: F.transform(v, lambda x: x / n)))
+
+
+def pool_rows(rows: DataFrame, group: list[str], vector: str = "embedding", mask: Column | None = None) -> DataFrame:
+    """rows with one state each -> (group, i, x): the mean of each group's states whose mask is 1, scaled to length 1, by element. States are added up where they are, so a group may be any share of the rows; only sums are moved. A group without a 1 in its mask has none; a null state counts as masked."""
+    kept = rows if mask is None else rows.filter(mask == 1)
+    sums = kept.select(*group, F.posexplode(vector).alias("i", "x")).groupBy(*group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    keys = [f"__{g}" for g in group]
+    whole = sums.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(TINY)).alias("__length"))
+    on = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys)]
+    return sums.join(whole, on).select(*group, "i", (F.col("x") / F.col("__length")).alias("x"))

@@ -24,8 +24,8 @@ def _score(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     dots = q @ v.T
     if metric == "dot":
         return dots
-    scale = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
-    same = (q[:, None, :] == v[None, :, :]).all(2) if (scale == 0).any() else np.zeros((1, 1), bool)
+    a, b = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+    scale, same = a[:, None] * b[None, :], ~q.any(1)[:, None] & ~v.any(1)[None, :]  # a vector without length is like its equals only
     return np.where(scale > 0, dots / np.where(scale > 0, scale, 1), np.where(same, 1.0, 0.0))
 
 

@@ -109,15 +109,29 @@ def pad_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT label, unnest(generate_series(0, 63)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE vec_id % 2 = 0),
+    """WITH v AS (SELECT label, unnest(generate_series(0, 63)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
 m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY label)
 SELECT label, i, round(x / l, 6) + 0 AS x FROM m JOIN n USING (label)"""
 )
 def pool_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of each label as the states of one sequence; a mask leaves out every second one."""
-    s = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list(F.struct("embedding", (1 - F.col("vec_id") % 2).cast("int").alias("m"))).alias("s"))
-    pooled = s.select("label", encode.mean_pool(F.transform("s", lambda x: x.embedding), encode.checked_mask(F.transform("s", lambda x: x.m))).alias("p"))
-    return pooled.select("label", F.posexplode("p").alias("i", "x")).select("label", F.col("i").cast("bigint").alias("i"), (F.round("x", 6) + 0).alias("x"))
+    """The vectors of each label as the states of one sequence."""
+    pooled = encode.pool_rows(read(spark, sf_dir, "embeddings"), ["label"])
+    return pooled.select("label", F.col("i").cast("bigint").alias("i"), (F.round("x", 6) + 0).alias("x"))
+
+
+@query(
+    """WITH p AS (SELECT vec_id, j, CAST(embedding[8 * j + 1 : 8 * j + 8] AS DOUBLE[]) AS s FROM embeddings, (SELECT unnest(generate_series(0, 7)) AS j)),
+k AS (SELECT vec_id, unnest(s) AS x, unnest(generate_series(0, 7)) AS i FROM p WHERE j = 0 OR s[1] >= 0),
+m AS (SELECT vec_id, i, avg(x) AS x FROM k GROUP BY ALL), n AS (SELECT vec_id, sqrt(sum(x * x)) AS l FROM m GROUP BY vec_id)
+SELECT vec_id, i, round(x / l, 6) + 0 AS x FROM m JOIN n USING (vec_id)"""
+)
+def pool_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector cut into eight states; those that begin below zero are masked, but for the first."""
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.slice("embedding", 8 * j + 1, F.lit(8)))
+    s = read(spark, sf_dir, "embeddings").select("vec_id", pieces.alias("s"))
+    mask = F.transform("s", lambda p, j: ((j == 0) | (F.get(p, F.lit(0)) >= 0)).cast("int"))
+    pooled = s.withColumn("m", mask).select("vec_id", encode.mean_pool(F.col("s"), encode.checked_mask(F.col("m"))).alias("p"))
+    return pooled.select("vec_id", F.posexplode("p").alias("i", "x")).select("vec_id", F.col("i").cast("bigint").alias("i"), (F.round("x", 6) + 0).alias("x"))
 
 
 @query("SELECT CAST(n AS BIGINT) AS n, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN abs(i - j) <= 2 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS m FROM (SELECT unnest(generate_series(1, 9)) AS n), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS i), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS j)")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from verdigris.config import Hybrid, Recency
 from verdigris.operators import aggregate, fulltext, fusion, rerank, vectors
+from verdigris.sources.shared import written
 
 
 def candidates(queries: DataFrame, docs: DataFrame, vecs: DataFrame, query_vecs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """queries (query_id, query), docs, vecs (id, v), query_vecs (query_id, v) -> candidates: the best 3 * limit of each source."""
     top_n = 3 * limit
-    post = fulltext.postings(docs, id_col, text_col)
-    scores = fulltext.bm25(fulltext.phrases(queries), post, docs, id_col)
+    split = written(fulltext.tokenized(docs, id_col, text_col), "tokenized")
+    scores = fulltext.bm25(fulltext.phrases(queries), split)
     text = fulltext.ranked(scores, "fts", top_n, F.asc("score"))
     near = vectors.knn(vecs, query_vecs, top_n).select("query_id", F.lit("vector").alias("source"), F.col("id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("chunk_id"), "score", "rank")
     return text.unionByName(near)

@@ -28,7 +28,7 @@ def terms_sql(x: str) -> str:
 
 
 def _digests(docs: DataFrame, made: Column) -> DataFrame:
-    return docs.select("doc_id", F.char_length(made).cast("bigint").alias("n"), F.md5(made).alias("digest"))
+    return docs.select("doc_id", made.alias("made")).select("doc_id", F.char_length("made").cast("bigint").alias("n"), F.md5("made").alias("digest"))
 
 
 @query(f"SELECT doc_id, length({normal('text')}) AS n, md5({normal('text')}) AS digest FROM documents")
@@ -170,7 +170,7 @@ def fts_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VOCAB_CTE} SELECT * FROM vocab")
 def fts_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.vocabulary(fulltext.postings(read(spark, sf_dir, "documents")))
+    return fulltext.vocabulary_of(fulltext.tokenized(read(spark, sf_dir, "documents")))
 
 
 SHORT = [(0, "a"), (1, "th the"), (2, "É of"), (3, "zq in"), (4, "or th"), (5, "ａｎ"), (6, "d_ and"), (7, "Qu-e te"), (8, "u AND re")]
@@ -190,7 +190,7 @@ found AS (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY cnt D
 
 @query(f"WITH {VOCAB_CTE}, {SHORT_CTE} SELECT word, term, CAST(nth AS BIGINT) AS nth FROM found")
 def fts_vocab_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = fulltext.vocabulary(fulltext.postings(read(spark, sf_dir, "documents")))
+    vocab = fulltext.vocabulary_of(fulltext.tokenized(read(spark, sf_dir, "documents")))
     words = short_queries(spark).select(T.normalize(F.col("query")).alias("normal")).select(F.explode(M.split_words(M.sanitize(F.col("normal")))).alias("word")).filter(M.is_short(F.col("word")))
     return fulltext.expand_short(words, vocab).withColumn("nth", F.col("nth").cast("bigint"))
 
@@ -203,7 +203,7 @@ SELECT query_id, string_agg(coalesce(part, '"' || replace(word, '"', '""') || '"
 
 @query(f"WITH {VOCAB_CTE}, {SHORT_CTE}, {_PREPARED}")
 def fts_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = fulltext.vocabulary(fulltext.postings(read(spark, sf_dir, "documents")))
+    vocab = fulltext.vocabulary_of(fulltext.tokenized(read(spark, sf_dir, "documents")))
     return fulltext.prepare(short_queries(spark), vocab).select("query_id", "match_query")
 
 
@@ -211,6 +211,13 @@ def fts_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {VOCAB_CTE}, {SHORT_CTE.replace(_values(SHORT, 'id, text'), '(SELECT item_id AS id, text FROM benchmark)')}, {_PREPARED}"""
 )
 def fts_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = fulltext.vocabulary(fulltext.postings(read(spark, sf_dir, "documents")))
+    vocab = fulltext.vocabulary_of(fulltext.tokenized(read(spark, sf_dir, "documents")))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return fulltext.prepare(asked, vocab).filter("error IS NULL").select("query_id", "match_query")
+
+
+@query(f"WITH asked AS (SELECT item_id AS id, text FROM benchmark), {SANITIZED_CTE}, words AS (SELECT id AS query_id, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS grp FROM (SELECT id, string_split(s, ' ') AS w FROM sane)) SELECT query_id, string_agg('\"' || replace(word, '\"', '\"\"') || '\"', ' AND ' ORDER BY grp) AS match_query FROM words GROUP BY query_id")
+def fts_missing_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preparation by a vocabulary table that isn't there: short words stay as they are."""
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return fulltext.prepare(asked, fulltext.vocabulary_table(spark, "no_such_vocabulary")).filter("error IS NULL").select("query_id", "match_query")
