@@ -213,8 +213,20 @@ def test_batches(spark):
 
 def test_encoders_masks_pooling(spark):
     df = spark.createDataFrame([(0, "a b"), (1, None), (2, "")], "i int, text string")
-    out = {r.i: r.embedding for r in encode.embed_documents(df, encode.HashingEncoder).collect()}
+    out = {r.i: r.embedding for r in encode.embed_texts(df, encode.HashingEncoder).collect()}
     assert out[1] is None and abs(np.linalg.norm(out[0]) - 1) < 1e-6
+    long = " ".join(f"w{i}" for i in range(10))
+    docs = spark.createDataFrame([(0, "a b"), (1, None), (2, ""), (3, long)], "doc_id int, text string")
+    made = {(r.doc_id, r.chunk_id): r for r in encode.embed_documents(docs, encode.HashingEncoder, content=6, overlap=2).collect()}
+    assert set(made) == {(0, "c0"), (2, "c0"), (3, "c0"), (3, "c1")}
+    prefix, words = config.PREFIXES["document"], long.split()
+    for chunk, part in (("c0", words[:6]), ("c1", words[4:])):
+        assert np.allclose(made[3, chunk].embedding, encode.HashingEncoder().encode([prefix + " ".join(part)])[0])
+    assert made[3, "c0"].length == 6 + len(prefix.split()) + 2 and made[3, "c0"].bucket == 0
+    q = spark.createDataFrame([(0, "w " * 9000), (1, None)], "query_id int, query string")
+    asked = {r.query_id: r.embedding for r in encode.embed_queries(q, encode.HashingEncoder).collect()}
+    kept = " ".join(["w"] * (8190 - len(config.PREFIXES["query"].split())))
+    assert asked[1] is None and np.allclose(asked[0], encode.HashingEncoder().encode([config.PREFIXES["query"] + kept])[0])
     s = spark.createDataFrame([([[3.0, 0.0], [0.0, 8.0], [9.0, 9.0]], [1, 1, 0])], "s array<array<float>>, m array<int>")
     p = s.select(encode.mean_pool(F.col("s"), encode.checked_mask(F.col("m")))).first()[0]
     assert np.allclose(p, np.array([3, 8]) / math.hypot(3, 8))

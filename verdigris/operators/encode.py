@@ -18,8 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.config import PREFIXES
+from verdigris.config import CHUNK_OVERLAP, PREFIXES, SPECIAL_TOKENS, max_content
 from verdigris.functions.match import let
+from verdigris.operators.batching import bucket_of
+from verdigris.operators.chunking import plan_chunks
 from verdigris.operators.rerank import Lazy
 
 TINY = float(np.finfo(np.float32).tiny)
@@ -102,12 +104,38 @@ def embed_texts(rows: DataFrame, make: Callable[[], Encoder], prefix: str = PREF
     return rows.withColumn(out, run(text_col))
 
 
-def embed_queries(queries: DataFrame, make: Callable[[], Encoder]) -> DataFrame:
-    return embed_texts(queries, make, PREFIXES["query"], "query")
+@dataclass(frozen=True)
+class Tokenizer:
+    """A tokenizer as expressions: a text to its tokens (array of strings), and tokens back to a text. length() is that of a fixed text, for prefixes."""
+
+    split: Callable[[Column], Column]
+    join: Callable[[Column], Column]
+    length: Callable[[str], int]
+
+
+#: Words between spaces.
+WORDS = Tokenizer(lambda t: F.split(t, " "), lambda p: F.array_join(p, " "), lambda t: len(t.split()))
+
+
+def embed_queries(queries: DataFrame, make: Callable[[], Encoder], tokenizer: Tokenizer = WORDS) -> DataFrame:
+    """queries with embedding; what doesn't fit the model beside the prefix is cut off."""
+    prefix = PREFIXES["query"]
+    kept = F.slice(tokenizer.split(F.col("query")), 1, max_content(tokenizer.length(prefix)))
+    return embed_texts(queries.withColumn("__cut", tokenizer.join(kept)), make, prefix, "__cut").drop("__cut")
+
+
+def document_chunks(docs: DataFrame, tokenizer: Tokenizer = WORDS, prefix: str = PREFIXES["document"], content: int | None = None, overlap: int = CHUNK_OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, chunk_id, chunk_idx, n_tokens, length, text): whole texts in chunks that fit the model beside the prefix; length has prefix and special tokens in it. A null text has none."""
+    ahead = tokenizer.length(prefix)
+    tokens = docs.select(F.col(id_col).alias("doc_id"), tokenizer.split(F.col(text_col)).alias("tokens")).filter("tokens IS NOT NULL")
+    n = F.size("tokens")
+    return plan_chunks(tokens, ahead, content, overlap).select("doc_id", "chunk_id", "chunk_idx", n.alias("n_tokens"), (n + ahead + SPECIAL_TOKENS).alias("length"), tokenizer.join(F.col("tokens")).alias("text"))
 
 
-def embed_documents(chunks: DataFrame, make: Callable[[], Encoder], text_col: str = "text") -> DataFrame:
-    return embed_texts(chunks, make, PREFIXES["document"], text_col)
+def embed_documents(docs: DataFrame, make: Callable[[], Encoder], tokenizer: Tokenizer = WORDS, **options) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, chunk_id, chunk_idx, n_tokens, length, bucket, embedding), a row for each chunk. Within a partition chunks of a bucket are encoded one after another, so that batches are of like lengths; no shuffle."""
+    chunks = document_chunks(docs, tokenizer, **options).withColumn("bucket", bucket_of(F.col("length")))
+    return embed_texts(chunks.sortWithinPartitions("bucket"), make, PREFIXES["document"]).drop("text")
 
 
 def checked_mask(mask: Column) -> Column:

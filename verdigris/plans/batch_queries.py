@@ -39,13 +39,13 @@ def tok_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size("t").cast("bigint").alias("n"), F.aggregate("t", F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"), F.element_at("t", -1).cast("bigint").alias("last"))
 
 
-def _chunks_sql(content: int, overlap: int) -> str:
+def chunks_sql(content: int, overlap: int) -> str:
     return f"""{_TOKENS},
 starts AS (SELECT doc_id, tokens, len(tokens) AS n, unnest(generate_series(0, CASE WHEN len(tokens) <= {content} THEN 0 ELSE CAST(ceil((len(tokens) - {content}) / {content - overlap}.0) AS BIGINT) END)) AS idx FROM tok),
 chunks AS (SELECT doc_id, idx, idx * {content - overlap} AS start, least({content}, n - idx * {content - overlap}) AS length, list_sum(tokens[idx * {content - overlap} + 1 : idx * {content - overlap} + {content}]) AS total FROM starts)"""
 
 
-@query(f"WITH {_chunks_sql(CONTENT, OVERLAP)} SELECT doc_id, 'c' || idx AS chunk_id, idx AS chunk_idx, start, length AS n, total FROM chunks")
+@query(f"WITH {chunks_sql(CONTENT, OVERLAP)} SELECT doc_id, 'c' || idx AS chunk_id, idx AS chunk_idx, start, length AS n, total FROM chunks")
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunking.plan_chunks(_tokens(spark, sf_dir), content=CONTENT, overlap=OVERLAP)
     big = lambda x: F.col(x).cast("bigint")
@@ -64,7 +64,7 @@ def model_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUCKET = "CASE " + " ".join(f"WHEN length <= {b} THEN {i}" for i, b in enumerate(BUCKET_BOUNDS)) + " END"
-_MODEL = f"{_chunks_sql(max_content(0), CHUNK_OVERLAP)}, sized AS (SELECT doc_id, idx, length + 2 AS length FROM chunks), put AS (SELECT *, {_BUCKET} AS bucket FROM sized)"
+_MODEL = f"{chunks_sql(max_content(0), CHUNK_OVERLAP)}, sized AS (SELECT doc_id, idx, length + 2 AS length FROM chunks), put AS (SELECT *, {_BUCKET} AS bucket FROM sized)"
 _SIZES = "[" + ", ".join(str(batching.sub_batch_size(b)) for b in BUCKET_BOUNDS) + "]"
 _SUB = f"{_MODEL}, sub AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY doc_id, idx) - 1) // {_SIZES}[bucket + 1] AS sub_batch FROM put)"
 
