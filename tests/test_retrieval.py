@@ -132,6 +132,9 @@ def test_aggregators(spark):
     assert out == [("d1", 0.75, 0.5, 0.5), ("d2", 0.375, None, None), ("d3", 0.125, None, None)]
     assert aggregate.top_k_average(0)(k).count() == 0
     assert aggregate.identity(k) is k
+    nan = float("nan")
+    n = hits(spark, [("d1", "c0", nan, None, None), ("d1", "c1", 0.5, None, None), ("d2", "c0", 0.5, 0.25, None), ("d2", "c1", nan, None, None)])
+    assert {(r.doc_id, math.isnan(r.score)) for r in aggregate.max_chunk(n).collect()} == {("d1", True), ("d2", False)}
     parents = {r.doc_id: [x.in_rank for x in r.hits] for r in aggregate.group_by_parent(h).collect()}
     assert parents == {"d1": [0, 2], "d2": [1], "d3": [3]}
 

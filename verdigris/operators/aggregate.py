@@ -25,8 +25,10 @@ def identity(hits: DataFrame) -> DataFrame:
 
 
 def max_chunk(hits: DataFrame) -> DataFrame:
-    """The best chunk of each document, the first of equals, as the document's hit."""
-    best = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "in_rank")
+    """The best chunk of each document, the first of equals, as the document's hit. A score that is NaN is beaten by any number, unless it is the first."""
+    document = Window.partitionBy("query_id", "doc_id")
+    leads = F.col("in_rank") == F.min("in_rank").over(document)
+    best = document.orderBy(F.when(F.isnan("score"), F.when(leads, 0).otherwise(2)).otherwise(1), F.desc("score"), "in_rank")
     return order_hits(_of_document(hits.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth", "in_rank")))
 
 
