@@ -20,13 +20,13 @@ word's only.
 
 Counting combines in the workers (sort and count of hashed n-grams, in bounded
 parts), then in Spark; continuation counts, discounts and interpolation are
-joins over the table of n-grams. The sorted hash arrays that are broadcast hold
-MODEL_GRAMS entries at most, whatever the corpus and however many its languages:
-each language and order has room in proportion to the root of the language's
-characters, and stores the n-grams that occur at least as often as the least
-power of two by which they fit. Those rarer, if any, are counted in all
-statistics too, and are scored by backing off, their mass left to the lower
-order. Scoring is one lookup for most characters, at any size.
+joins over the table of n-grams. Nothing is pruned. As every text is counted,
+each of its n-grams of the highest order has a probability of its own, and
+scoring is one lookup a character. The sorted hash arrays that are broadcast
+hold MODEL_GRAMS of these at most, whatever the corpus and however many its
+languages: those that occur at least as often as the least power of two by which
+they fit. The characters whose n-grams are rarer, if any, are joined with the
+table of the rest, so that all are scored by the same model at any size.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ PRIOR_TEXTS = 10.0
 #: Scales of a language without texts, and least ones: of the mean by characters, and of the logarithm of that by words.
 PRIOR_SCALE, LEAST_SCALE = {"x": 0.5, "w": 0.2}, {"x": 0.01, "w": 0.005}
 LEAST_DISCOUNT = 0.1
-#: Entries of the model at most.
+#: N-grams in the arrays that are broadcast at most; the rest are joined.
 MODEL_GRAMS = 1 << 23
 #: Rows of the table of bands (languages by lengths) up to which it is broadcast; beyond, it is joined by shuffling.
 BROADCAST_BANDS = 500_000
@@ -65,6 +66,10 @@ HELD_GRAMS = 1 << 21
 _BLOCK = 1 << 16
 _BITS = 21
 _MASK = (1 << _BITS) - 1
+_SIGN = np.int64(-(1 << 63))
+#: Columns that scoring adds for each text, and for each character that is to be joined.
+_SCORED = ("row", "sum", "size", "words", "hi", "lo")
+UNCOUNTED = "an n-gram that wasn't counted: the table isn't the same when it is read again"
 
 
 def cell_of(text: Column) -> Column:
@@ -239,15 +244,13 @@ def _least(levels: dict[int, DataFrame], room: float) -> DataFrame:
     return of.groupBy("seed").agg(*[F.pow(F.lit(2.0), F.max(F.when(F.col("k") <= k, F.col("power")))).cast("long").alias(f"least{k}") for k in levels])
 
 
-def kneser_ney(grams: DataFrame, order: int = ORDER, model_grams: int = MODEL_GRAMS) -> tuple[DataFrame, list[DataFrame]]:
-    """Table grams (seed, hi, lo, n) -> (seed, k, hi, lo, logp, back), and tables to forget once it is read.
+def interpolated(grams: DataFrame, order: int = ORDER, model_grams: int | None = None) -> tuple[dict[int, DataFrame], dict[int, DataFrame], list[DataFrame]]:
+    """Table grams (seed, hi, lo, n) -> by order k, 0 to order, tables (seed, hi, lo, p), with n in the highest; by order tables of contexts (seed, phi, plo, total, gamma); and tables to forget once these are read.
 
-    Entries of k = 1 to order are the n-grams stored: the interpolated log
-    probability of the last character, and the log of the mass that their
-    contexts leave to the lower order (0 where nothing follows), in UNIT. The
-    entry of k = 0 has that of the empty context, and as logp that of each
-    character by the uniform distribution. The highest order has the counts
-    given, lower ones continuation counts.
+    p is the interpolated probability of the last character, gamma the mass that
+    a context leaves to the lower order. That of k = 0 is the uniform
+    distribution. The highest order has the counts given, lower ones continuation
+    counts. model_grams: prunes to so many n-grams; None prunes none.
     """
     levels = {order: grams.withColumn("c", F.col("n"))}
     made = []
@@ -255,15 +258,19 @@ def kneser_ney(grams: DataFrame, order: int = ORDER, model_grams: int = MODEL_GR
         levels[k] = table(levels[k + 1].groupBy("seed", *_suffix(k)).agg(F.sum("n").alias("n"), F.count("*").alias("c")), f"level{k}")
         made.append(levels[k])
     # written, so that the plans below hold a small table in their place
-    least, off = table(_least(levels, model_grams / order), "least"), table(discounts(levels), "discounts")
-    made += [least, off]
-    below = levels[1].groupBy("seed").agg((1.0 / (F.count("*") + 1)).alias("p"))
-    entries = below.select("seed", F.lit(0).alias("k"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.log("p").alias("lp"))
-    below = below.select("seed", F.lit(0).cast("long").alias("shi"), F.lit(0).cast("long").alias("slo"), "p")
-    backs, every = None, [entries]
+    off = table(discounts(levels), "discounts")
+    made.append(off)
+    if model_grams is not None:
+        least = table(_least(levels, model_grams / order), "least")
+        made.append(least)
+    none = F.lit(0).cast("long")
+    below = levels[1].groupBy("seed").agg((1.0 / (F.count("*") + 1)).alias("p")).select("seed", none.alias("hi"), none.alias("lo"), "p")
+    found, contexts = {0: below}, {}
     for k in range(1, order + 1):
-        of = levels[k].join(off.filter(F.col("k") == k).drop("k"), "seed").join(least.select("seed", F.col(f"least{k}").alias("least")), "seed")
-        stored = F.col("n") >= F.col("least")
+        of, stored = levels[k].join(off.filter(F.col("k") == k).drop("k"), "seed"), F.lit(True)
+        if model_grams is not None:
+            of = of.join(least.select("seed", F.col(f"least{k}").alias("least")), "seed")
+            stored = F.col("n") >= F.col("least")
         kind = F.least("c", F.lit(3))
         context = of.select("seed", *_prefix(), "c", "d1", "d2", "d3", stored.alias("stored"), kind.alias("kind")).groupBy("seed", "hi", "lo").agg(
             F.sum("c").alias("total"),
@@ -272,24 +279,43 @@ def kneser_ney(grams: DataFrame, order: int = ORDER, model_grams: int = MODEL_GR
             *[F.first(f"d{i}").alias(f"d{i}") for i in (1, 2, 3)],
         )
         left = F.col("total") - F.col("kept") + F.col("m1") * F.col("d1") + F.col("m2") * F.col("d2") + F.col("m3") * F.col("d3")
-        context = table(context.select("seed", F.col("hi").alias("phi"), F.col("lo").alias("plo"), "total", (left / F.col("total")).alias("gamma")), f"context{k}")
-        made.append(context)
-        back = context.select("seed", F.lit(k - 1).alias("k"), F.col("phi").alias("hi"), F.col("plo").alias("lo"), F.log("gamma").alias("back"))
-        backs = back if backs is None else backs.union(back)
+        contexts[k] = table(context.select("seed", F.col("hi").alias("phi"), F.col("lo").alias("plo"), "total", (left / F.col("total")).alias("gamma")), f"context{k}")
+        made.append(contexts[k])
         own = F.col("c") - F.when(kind == 1, F.col("d1")).when(kind == 2, F.col("d2")).otherwise(F.col("d3"))
-        (phi, plo), (shi, slo) = _prefix(), _suffix(k - 1) if k > 1 else [F.lit(0).cast("long")] * 2
-        mine = of.filter(stored).select("seed", "hi", "lo", own.alias("own"), phi.alias("phi"), plo.alias("plo"), shi.alias("shi"), slo.alias("slo"))
+        (phi, plo), (shi, slo) = _prefix(), _suffix(k - 1) if k > 1 else [none] * 2
+        counted = ["n"] if k == order else []
+        mine = of.filter(stored).select("seed", "hi", "lo", *counted, own.alias("own"), phi.alias("phi"), plo.alias("plo"), shi.alias("shi"), slo.alias("slo"))
+        lower = found[k - 1].select("seed", F.col("hi").alias("shi"), F.col("lo").alias("slo"), "p")
         p = F.col("own") / F.col("total") + F.col("gamma") * F.col("p")
-        now = table(mine.join(context, ["seed", "phi", "plo"]).join(below, ["seed", "shi", "slo"]).select("seed", "hi", "lo", p.alias("p")), f"p{k}")
-        made.append(now)
-        every.append(now.select("seed", F.lit(k).alias("k"), "hi", "lo", F.log("p").alias("lp")))
-        below = now.select("seed", F.col("hi").alias("shi"), F.col("lo").alias("slo"), "p")
-    whole = every[0]
-    for e in every[1:]:
-        whole = whole.union(e)
-    unit = lambda c: F.rint(F.coalesce(c, F.lit(0.0)) * UNIT).cast("int")
+        found[k] = table(mine.join(contexts[k], ["seed", "phi", "plo"]).join(lower, ["seed", "shi", "slo"]).select("seed", "hi", "lo", *counted, p.alias("p")), f"p{k}")
+        made.append(found[k])
+    return found, contexts, made
+
+
+def _unit(c: Column) -> Column:
+    """A logarithm in UNIT; 0 for null."""
+    return F.rint(F.coalesce(c, F.lit(0.0)) * UNIT).cast("int")
+
+
+def kneser_ney(grams: DataFrame, order: int = ORDER, model_grams: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Table grams (seed, hi, lo, n) -> (seed, k, hi, lo, logp, back), and tables to forget once it is read: the model for texts that may not have been counted, or pruned to model_grams entries.
+
+    Entries of k = 1 to order are the n-grams stored: the interpolated log
+    probability of the last character, and the log of the mass that their
+    contexts leave to the lower order (0 where nothing follows), in UNIT. The
+    entry of k = 0 has that of the empty context, and as logp that of each
+    character by the uniform distribution.
+    """
+    found, contexts, made = interpolated(grams, order, model_grams)
+    whole = backs = None
+    for k, of in found.items():
+        now = of.select("seed", F.lit(k).alias("k"), "hi", "lo", F.log("p").alias("lp"))
+        whole = now if whole is None else whole.union(now)
+    for k, of in contexts.items():
+        back = of.select("seed", F.lit(k - 1).alias("k"), F.col("phi").alias("hi"), F.col("plo").alias("lo"), F.log("gamma").alias("back"))
+        backs = back if backs is None else backs.union(back)
     # a context is looked for only where its own n-gram is stored; others have no stored n-gram after them
-    return whole.join(backs, ["seed", "k", "hi", "lo"], "left").select("seed", "k", "hi", "lo", unit(F.col("lp")).alias("logp"), unit(F.col("back")).alias("back")), made
+    return whole.join(backs, ["seed", "k", "hi", "lo"], "left").select("seed", "k", "hi", "lo", _unit(F.col("lp")).alias("logp"), _unit(F.col("back")).alias("back")), made
 
 
 def entry_hashes(seeds: np.ndarray, k: np.ndarray, hi: np.ndarray, lo: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -303,25 +329,33 @@ def entry_hashes(seeds: np.ndarray, k: np.ndarray, hi: np.ndarray, lo: np.ndarra
 
 
 class Model:
-    """Sorted hash arrays: of each n-gram stored, its log probability and what its context leaves to the lower order."""
-
-    def __init__(self, h: np.ndarray, logp: np.ndarray, back: np.ndarray, order: int = ORDER):
-        """h: entry_hashes(), in any order."""
-        h, first = np.unique(h.view(np.uint64), return_index=True)
+    """Sorted hash arrays: of each n-gram stored, its log probability and, where texts may have others, what its context leaves to the lower order."""
+
+    def __init__(self, h: np.ndarray, logp: np.ndarray, back: np.ndarray | None = None, order: int = ORDER):
+        """h: entry_hashes(), in any order; if in order they aren't sorted again. Without back, an n-gram that isn't stored is the caller's to find."""
+        h = h.view(np.uint64)
+        if not np.all(h[1:] > h[:-1]):
+            h, first = np.unique(h, return_index=True)
+            logp, back = logp[first], None if back is None else back[first]
         self.keys, self.order = SortedHash(h), order
-        self.logp, self.back = (np.append(x[first], 0).astype(np.int32) for x in (logp, back))  # the last is that of -1
+        self.logp, self.back = (None if x is None else np.append(x, 0).astype(np.int32, copy=False) for x in (logp, back))  # the last is that of -1
 
-    def information(self, grams: Grams) -> np.ndarray:
-        """-log p of each row, in UNIT."""
+    def lookup(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each character, in UNIT, and the characters whose n-grams of the highest order aren't stored, with 0."""
         seeds, n = of_order(grams.seeds, self.order), len(grams.points)
-        h, each = grams.hashes(self.order, seeds), np.empty(n, np.int64)
+        h, each, todo = grams.hashes(self.order, seeds), np.empty(n, np.int64), [np.zeros(0, np.int64)]
         for at in range(0, n, _BLOCK):
             place = self.keys.find(h[at : at + _BLOCK])
-            part = self.logp[place].astype(np.int64)
-            todo = np.flatnonzero(place < 0)
-            if todo.size:
-                part[todo] = self._backed_off(grams, todo + at)
-            each[at : at + _BLOCK] = part
+            each[at : at + _BLOCK] = self.logp[place]
+            todo.append(np.flatnonzero(place < 0) + at)
+        return each, np.concatenate(todo)
+
+    def information(self, grams: Grams) -> np.ndarray:
+        """-log p of each row, in UNIT, by backing off where need be."""
+        each, todo = self.lookup(grams)
+        for at in range(0, len(todo), _BLOCK):
+            part = todo[at : at + _BLOCK]
+            each[part] = self._backed_off(grams, part)
         return -X.segment_sums(each, grams.firsts)
 
     def _backed_off(self, grams: Grams, at: np.ndarray) -> np.ndarray:
@@ -343,8 +377,38 @@ class Model:
         return out
 
 
-def fit(rows: DataFrame, order: int = ORDER, model_grams: int = MODEL_GRAMS) -> Model:
-    """rows (seed, text) -> the model of the corpus, model_grams entries and one for each language at most."""
+def fit(rows: DataFrame, order: int = ORDER, room: int | None = None) -> tuple[Broadcast, DataFrame | None]:
+    """rows (seed, text) -> the model to broadcast, of the `room` (MODEL_GRAMS) most frequent n-grams of the corpus, or fewer, and a table of the rest (seed, hi, lo, logp); None if there are none. Both are of one model, of which nothing is pruned."""
+    room = MODEL_GRAMS if room is None else room
+    grams = count_grams(rows, order)
+    found, _, made = interpolated(grams, order)
+    every = found[order].select("seed", "hi", "lo", "n", _unit(F.log("p")).alias("logp"))
+    bins = dict(every.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count("*")).collect())
+    power = max(bins, default=0) + 1
+    while power and (room := room - bins.get(power - 1, 0)) >= 0:
+        power -= 1
+    stored = F.col("n") >= (1 << power)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, hi, lo = (batch.column(c).to_numpy() for c in ("seed", "hi", "lo"))
+            h = entry_hashes(seeds, np.full(len(seeds), order), hi, lo, order) ^ _SIGN
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("logp")], names=["h", "logp"])
+
+    # in order of the unsigned hashes, so that the driver needn't sort
+    got = every.filter(stored).select("seed", "hi", "lo", "logp").mapInArrow(run, "h long, logp int").orderBy("h").toArrow()
+    h, logp = got["h"].to_numpy(), got["logp"].to_numpy()
+    del got
+    pa.default_memory_pool().release_unused()
+    model = rows.sparkSession.sparkContext.broadcast(Model(h ^ _SIGN, logp, order=order))
+    del h, logp  # the driver's memory
+    rest = table(every.filter(~stored).drop("n"), "rest") if power else None
+    forget(grams, *made)
+    return model, rest
+
+
+def fit_pruned(rows: DataFrame, model_grams: int, order: int = ORDER) -> Broadcast:
+    """rows (seed, text) -> a model, to broadcast, of model_grams entries and one for each language at most, that backs off for the n-grams left out. Coarser than fit()'s; no query uses it."""
     grams = count_grams(rows, order)
     entries, made = kneser_ney(grams, order, model_grams)
 
@@ -355,30 +419,55 @@ def fit(rows: DataFrame, order: int = ORDER, model_grams: int = MODEL_GRAMS) ->
 
     got = entries.mapInArrow(run, "h long, logp int, back int").toArrow()
     forget(grams, *made)
-    return Model(*[got[c].to_numpy() for c in ("h", "logp", "back")], order)
+    return rows.sparkSession.sparkContext.broadcast(Model(*[got[c].to_numpy() for c in ("h", "logp", "back")], order))
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (seed, text, ...) -> rows without text, with x, the mean information by characters, and w, the logarithm of that by words, in MEAN_UNIT (both -1 without characters). A text without words counts as one."""
+def scored(rows: DataFrame, model: Broadcast, rest: DataFrame | None = None) -> DataFrame:
+    """rows (seed, text, ...) -> rows without text, with x, the mean information by characters, and w, the logarithm of that by words, in MEAN_UNIT (both -1 without characters); from tables. A text without words counts as one. model, which is destroyed, and rest: fit()'s."""
     names = [c for c in rows.columns if c != "text"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    joined = rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        """A row for each text; where rest is joined, also one for each of its characters that is to be found there, with null elsewhere."""
+        known = model.value
         for batch in batches:
-            seeds, out = batch.column("seed").to_numpy(), [np.zeros((2, 0), np.int64)]
+            seeds, ids, out = batch.column("seed").to_numpy(), batch.column("row").to_numpy(), [np.zeros((3, 0), np.int64)]
             for a, b, buf, offsets in X.slices(batch.column("text"), SLICE_BYTES):
                 grams = Grams(buf, offsets, seeds[a:b], known.order)
-                sums = known.information(grams)
+                if known.back is None:
+                    each, todo = known.lookup(grams)
+                    sums = -X.segment_sums(each, grams.firsts)
+                    if todo.size and not joined:
+                        raise RuntimeError(UNCOUNTED)
+                    for at in range(0, len(todo), _BLOCK):
+                        part = todo[at : at + _BLOCK]
+                        of = np.searchsorted(grams.firsts, part, "right") - 1 + a
+                        rare = {"seed": seeds[of], "row": ids[of], **dict(zip(("hi", "lo"), packed(grams.rows(part))))}
+                        yield pa.RecordBatch.from_arrays([pa.array(rare[c]) if c in rare else pa.nulls(len(of), kind) for c, kind in kinds(batch)], names=[*names, *_SCORED])
+                else:
+                    sums = known.information(grams)
                 words = np.diff(X.runs(X.WORD_BYTE[buf], offsets)[2])
-                x = sums / np.maximum(grams.sizes, 1) / UNIT
-                w = np.log(np.maximum(sums / np.maximum(words, 1) / UNIT, 1.0))
-                out.append(np.where(grams.sizes > 0, np.rint(np.stack([x, w]) * MEAN_UNIT), -1).astype(np.int64))
-            x, w = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(x), pa.array(w)], names=[*names, "x", "w"])
-
-    return rows.mapInArrow(run, f"{types}, x long, w long")
+                out.append(np.stack([sums, grams.sizes, words]).astype(np.int64))
+            mine = [*[batch.column(c) for c in names], batch.column("row"), *map(pa.array, np.concatenate(out, axis=1)), *[pa.nulls(len(ids), pa.int64())] * 2]
+            yield pa.RecordBatch.from_arrays(mine, names=[*names, *_SCORED])
+
+    def kinds(batch: pa.RecordBatch) -> list[tuple[str, pa.DataType]]:
+        return [*[(c, batch.schema.field(c).type) for c in names], *[(c, pa.int64()) for c in _SCORED]]
+
+    found = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"{types}, " + ", ".join(f"{c} long" for c in _SCORED))
+    some, words = F.col("size") > 0, F.greatest("words", F.lit(1))
+    x = F.when(some, F.rint(F.col("sum") / F.col("size") / UNIT * MEAN_UNIT)).otherwise(-1).cast("long")
+    w = F.when(some, F.rint(F.log(F.greatest(F.col("sum") / words / UNIT, F.lit(1.0))) * MEAN_UNIT)).otherwise(-1).cast("long")
+    figures = [*map(quoted, names), x.alias("x"), w.alias("w")]
+    found = table(found if joined else found.select(figures), "scores")
+    model.destroy()
+    if not joined:
+        return found
+    logp = F.coalesce("logp", F.raise_error(F.lit(UNCOUNTED)).cast("int"))
+    rare = found.filter("size is null").select("row", "seed", "hi", "lo").join(rest, ["seed", "hi", "lo"], "left").groupBy("row").agg(F.sum(logp).alias("rare"))
+    rare = table(rare, "rare")
+    return found.filter("size is not null").join(rare, "row", "left").withColumn("sum", F.col("sum") - F.coalesce("rare", F.lit(0))).select(figures)
 
 
 def _weighted_median(df: DataFrame, key: list[str], value: str, out: str) -> DataFrame:
@@ -415,7 +504,7 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> tuple[Column, Column
     return F.xxhash64(lang, lang.isNull()), quoted(text_col).cast("string")
 
 
-def perplexities(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", model_grams: int = MODEL_GRAMS) -> tuple[DataFrame, dict[str, str]]:
+def perplexities(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", model_grams: int | None = None, room: int | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The columns of docs named, with perplexity, lower, upper (by characters), word_info, word_lower, word_upper (nats a word) and kept added; and the names of these.
 
     Null and empty texts have null figures and bounds, and are not kept; so are
@@ -424,12 +513,17 @@ def perplexities(docs: DataFrame, keep: list[str], text_col: str = "text", lang_
     language fare alike, so ties and repeated rows do; very long texts are
     counted and scored whole. A corpus of a few texts has wide bands. The columns
     added take names that docs doesn't have. An empty table gives an empty one.
+    room: n-grams in the arrays that are broadcast (MODEL_GRAMS), which doesn't
+    change any figure. model_grams: prunes the model to so many, which does.
     """
     held, *added = own(docs, "held", "perplexity", "lower", "upper", "word_info", "word_lower", "word_upper", "kept")
     seed, text = _rows(docs, text_col, lang_col)
-    model = fit(docs.select(seed.alias("seed"), text.alias("text")), model_grams=model_grams)
+    texts = docs.select(seed.alias("seed"), text.alias("text"))
+    model, rest = fit(texts, room=room) if model_grams is None else (fit_pruned(texts, model_grams), None)
     rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias(held), seed.alias("seed"), cell_of(text).alias("cell"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    done = table(scored(rows, model), "scores")
+    done = scored(rows, model, rest)
+    if rest is not None:
+        forget(rest)
     limits = table(bands(done, "x").join(bands(done, "w"), ["seed", "cell"]), "limits")
     small = limits.count() <= BROADCAST_BANDS
     out = done.join(F.broadcast(limits) if small else limits, ["seed", "cell"], "left")
@@ -441,9 +535,9 @@ def perplexities(docs: DataFrame, keep: list[str], text_col: str = "text", lang_
     return out.select(*[F.col(held).getField(c).alias(c) for c in keep], *[f.alias(c) for f, c in zip(figures, added)]), dict(zip(kinds, added))
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose information lies within both bands of their language, with their columns; see perplexities() for nulls, ties and other odd input."""
-    out, names = perplexities(docs, docs.columns, text_col, lang_col)
+def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", room: int | None = None) -> DataFrame:
+    """The rows of docs whose information lies within both bands of their language, with their columns; see perplexities() for nulls, ties, room and other odd input."""
+    out, names = perplexities(docs, docs.columns, text_col, lang_col, room=room)
     return out.filter(F.col(names["kept"])).select(*[quoted(c) for c in docs.columns])
 
 
