@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.sources.shared import written
+
+#: So many ids of hits go to where the texts are, and only those texts are moved; with more, texts and hits meet by a shuffle.
+BROADCAST_IDS = 1 << 18
+
 #: Makes a scorer: two columns of texts to logits. Called once in each Python worker, and only if there are pairs.
 ScorerFactory = Callable[[], Callable[[pd.Series, pd.Series], np.ndarray]]
 
@@ -71,6 +76,10 @@ def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, make: ScorerF
     if make is None:
         return kept.withColumn("reranker_score", F.lit(None).cast("double")).withColumn("rank", F.col("in_rank"))
     bodies = corpus.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("body"))
+    kept = written(kept, "hits")  # found once, for both uses
+    ids = kept.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        bodies = bodies.join(F.broadcast(ids), "doc_id", "left_semi")
     pairs = kept.join(queries.select("query_id", "query"), "query_id").join(bodies, "doc_id", "left")
     scored = score_pairs(pairs, make, "query", "body").drop("query", "body")
     return sort_results(scored, "reranker_score", "original_rank")
