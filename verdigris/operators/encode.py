@@ -37,7 +37,7 @@ class Encoder(Protocol):
 
 @dataclass(frozen=True)
 class HashingEncoder:
-    """Sums of signed unit vectors of words, chosen by CRC, normalized."""
+    """Sums of signed unit vectors of words, chosen by CRC, normalized. Words that cancel out are the unit vector of their whole text; a text without words is zero."""
 
     dim: int = 64
 
@@ -47,6 +47,8 @@ class HashingEncoder:
             for word in text.split():
                 h = zlib.crc32(word.encode())
                 out[i, h % self.dim] += 1.0 if h >> 31 else -1.0
+            if not out[i].any() and text.strip():
+                out[i, zlib.crc32(text.encode()) % self.dim] = 1.0
         return (out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), TINY)).astype(np.float32)
 
 
