@@ -19,6 +19,23 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER = r"[^\x00-\x7F]"
 
 
+#: Blocks whose letters NFKC mostly leaves: Latin, Greek, Cyrillic, punctuation, kana.
+_BLOCKS = ((0x80, 0x250), (0x370, 0x530), (0x2010, 0x2028), (0x3001, 0x3100))
+
+
+@lru_cache(maxsize=1)
+def _inert() -> str:
+    """Of some blocks, the characters that NFKC leaves, whatever stands before them: their own form, no marks, and never the second of a composition."""
+    seconds = {d[1] for c in map(chr, range(0x80, 0x3100)) if len(d := unicodedata.decomposition(c).split()) == 2 and not d[0].startswith("<")}
+    own = lambda c: unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c)) and f"{c:04X}" not in seconds
+    return "".join(chr(c) for low, high in _BLOCKS for c in range(low, high) if own(c))
+
+
+def _may_fold(text: Column) -> Column:
+    """Whether NFKC may change a text, that is, whether characters other than ASCII are left without the inert ones; false or null where not."""
+    return F.when(text.rlike(_OTHER), F.translate(text, _inert(), "")).rlike(_OTHER)
+
+
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -31,9 +48,9 @@ def _folded_lower(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition. Only rows with other than ASCII characters are sent to Python."""
+    """Unicode compatibility composition. Only rows with characters that it may change are sent to Python."""
     fold = F.pandas_udf(_folded, "string")
-    return F.coalesce(fold(F.when(text.rlike(_OTHER), text)), text)
+    return F.coalesce(fold(F.when(_may_fold(text), text)), text)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -50,7 +67,7 @@ def normalize(text: Column, cfg: Normalization = Normalization()) -> Column:
     """The steps that cfg has on, in this order. With all off the text stays as it is."""
     if cfg.nfkc and cfg.lower:  # both in one visit to Python, for the rows that go there
         fold = F.pandas_udf(_folded_lower, "string")
-        text = F.coalesce(fold(F.when(text.rlike(_OTHER), text)), F.lower(text))
+        text = F.coalesce(fold(F.when(_may_fold(text), text)), ascii_lower(text))
     elif cfg.nfkc:
         text = nfkc(text)
     elif cfg.lower:
